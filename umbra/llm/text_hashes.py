@@ -42,9 +42,9 @@ def crc(text: str) -> int:
 
 
 def stem_and_word(word: str) -> int:
-    """The hashes of a word without outer punctuation (upper half) and of its first five letters (lower half)."""
+    """The hashes of a word without outer punctuation (upper half) and of its first four letters (lower half)."""
     bare = _EDGES.sub("", word)
-    return crc(bare) << 32 | crc("5" + bare[:5])
+    return crc(bare) << 32 | crc("4" + bare[:4])
 
 
 def shape_and_word(word: str) -> int:
