@@ -3,7 +3,7 @@
 Documents are nodes; documents with equal texts are linked, not by all pairs but as stars: a group is cut into blocks of
 bounded size, every member is linked with its block's hub, and the hubs of a group form a chain. Labels, at first by a
 hash, are shard numbers. In turn members and hubs ask for the shard in which most of their neighbours are. A move from
-shard a to b is granted as far as moves from b to a and the room left in b allow; among equals a hash decides. The
+shard a to b is granted as far as moves from b to a and the room that linked rows leave in b allow; a hash decides whose. The
 shard-to-shard counts are the only thing that the driver sees (shards squared).
 
 At the end the law ``rows`` is met exactly: shard sizes differ by one row at most. Rows are ranked within each shard in
@@ -26,8 +26,8 @@ from pyspark.sql.window import Window
 from umbra.llm.common import cut, table
 
 SHARDS, ROUNDS = 8, 4
-#: Blocks that a shard's share of rows is at least worth: what is kept together is small beside a shard.
-BLOCKS_A_SHARD = 64
+#: Blocks that a shard's share of rows is at least worth, so that what is kept together fits beside other rows.
+BLOCKS_A_SHARD = 8
 #: Rows of a bucket within which rows are ranked, about.
 BUCKET_ROWS = 5_000
 _SCALE = 1 << 20
@@ -60,7 +60,6 @@ def propagate(edges: DataFrame, rows: int, shards: int, rounds: int = ROUNDS) ->
     both = cut(edges.select("a", "b", F.lit(False).alias("hub")).union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(True).alias("hub"))))
     nodes = both.groupBy(F.col("a").alias("node")).agg(F.max("hub").alias("hub"))
     labels = cut(nodes.withColumn("label", F.pmod(F.xxhash64("node", F.lit(11)), F.lit(shards)).cast("int")))
-    linked = labels.count()
     for turn in range(rounds):
         seen = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a", "label").agg(F.count("*").alias("n"))
         tally = seen.groupBy("a").agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("seen"), F.max_by("label", F.struct("n", -F.col("label"))).alias("wish"))
@@ -74,7 +73,7 @@ def propagate(edges: DataFrame, rows: int, shards: int, rounds: int = ROUNDS) ->
         for a in range(shards):
             for b in range(shards):
                 asked = flow.get((a, b), 0)
-                room = max(0, -(-linked // shards) - size[b]) // max(1, shards - 1)
+                room = max(0, rows // shards - size[b]) // max(1, shards - 1)
                 granted.append(_SCALE if a == b or not asked else _SCALE * min(asked, flow.get((b, a), 0) + room) // asked)
         allowed = _chance("node", 100 + turn) < _cases(granted, F.col("label") * shards + F.col("wish"))
         labels = cut(wishes.select("node", "hub", F.when(allowed, F.col("wish")).otherwise(F.col("label")).alias("label")))
