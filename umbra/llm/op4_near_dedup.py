@@ -19,8 +19,8 @@ Nothing is capped, so no list loses a link. All but the fixed number of blocks'
 Defined cases: a text without words, or null, has an empty set and is linked with nothing; one with fewer words than a
 shingle has its whole sequence as its one shingle; equal texts always share a component; rows of one id count as one
 document and are all returned; rows without an id belong to a component only by an equal set, else their component is
-null, and they are kept; an empty table gives no rows. Extra columns of the input stay, but those named like a result
-are replaced.
+null, and they are always kept (with extra columns their results are null); an empty table gives no rows. Extra columns
+of the input stay, but those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -247,12 +247,12 @@ def groups(df: DataFrame, words: int = 5, similarity: Fraction = Fraction(8, 10)
 
     named = of_class.join(final.withColumnRenamed("id", "rep"), "rep", "left")
     result = named.select("id", "n_shingles", F.coalesce("component", "rep", "id").alias("component_id"))
-    result = result.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull()))
+    result = result.withColumn("kept", F.col("id").isNull() | (F.col("id") == F.col("component_id")))
     if set(others) == {doc_id, text}:
         return result.withColumnRenamed("id", doc_id)
-    # Rows of one id count as one document, but may have different texts: the first one's result holds.
-    one = result.groupBy("id").agg(F.min("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"), F.min("kept").alias("kept"))
-    return df.select(others).join(one, df[doc_id].eqNullSafe(one["id"]), "left").drop("id")
+    # Rows of one id count as one document, whatever their texts are.
+    one = result.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"), F.min("kept").alias("kept"))
+    return df.select(others).join(one, df[doc_id] == one["id"], "left").drop("id").withColumn("kept", F.coalesce("kept", F.lit(True)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,8 +131,9 @@ def find(documents: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(documents: DataFrame, items: DataFrame) -> DataFrame:
     """``documents`` without those that contain an item."""
-    found = find(documents, items).select("doc_id").distinct()
-    return documents.join(found, "doc_id", "left_anti").select(documents.columns)
+    found = cut(find(documents, items).select("doc_id").distinct())
+    few = found.count() <= MAX_BROADCAST_HITS
+    return documents.join(F.broadcast(found) if few else found, "doc_id", "left_anti").select(documents.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
