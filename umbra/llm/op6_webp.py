@@ -79,7 +79,7 @@ def decode(df: DataFrame, media: str = "media") -> DataFrame:
     """``df`` with ``width``, ``height`` and ``pixels`` (little-endian 32-bit ARGB values) of one WebP image a row."""
     names = ["width", "height", "pixels"]
     kept = [x for x in df.columns if x not in names]
-    schema = df.select(kept).schema.add("width", "int").add("height", "int").add("pixels", "binary")
+    schema = df.select(kept).schema.add("width", "integer").add("height", "integer").add("pixels", "binary")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
