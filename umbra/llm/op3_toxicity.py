@@ -26,9 +26,8 @@ from umbra.llm.text_hashes import Remembered, mix, stem_and_word
 BITS = 24
 #: Labelled rows of each class that training may use at most.
 PER_CLASS = 5_000
-ALPHA, BETA, L2, EPOCHS = 0.5, 1.0, 0.1, 3
-#: The L1 term for each thousand rows of the sample, and its bounds: a feature must recur to be believed.
-L1_PER_1000, L1_LEAST, L1_MOST = 0.9, 0.5, 6.0
+#: The L1 term is high, so that a feature must recur in many rows to get a weight.
+ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 6.0, 0.1, 3
 _WORDS = Remembered(stem_and_word)
 _ADD = [np.uint64(x * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) for x in range(1, 5)]
 
@@ -51,14 +50,13 @@ def train(rows: list[tuple[np.ndarray, int]], share: float | None = None) -> tup
     """(intercept, places, weights) after ``EPOCHS`` passes; ``share``: of label 1 among all labelled rows."""
     if not rows or len({y for _, y in rows}) < 2:
         return -30.0, np.empty(0, np.int32), np.empty(0, np.float32)
-    l1 = min(L1_MOST, max(L1_LEAST, L1_PER_1000 * len(rows) / 1000))
     z, n = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32)
     bias_z = bias_n = 0.0
     for epoch in range(EPOCHS):
         for k in np.random.default_rng(epoch).permutation(len(rows)):
             at, y = rows[k]
             za, na = z[at], n[at]
-            w = np.where(np.abs(za) <= l1, 0, -(za - np.sign(za) * l1) / ((BETA + np.sqrt(na)) / ALPHA + L2)).astype(np.float32)
+            w = np.where(np.abs(za) <= L1, 0, -(za - np.sign(za) * L1) / ((BETA + np.sqrt(na)) / ALPHA + L2)).astype(np.float32)
             bias = -bias_z / ((BETA + math.sqrt(bias_n)) / ALPHA)
             p = 1 / (1 + math.exp(-max(-30.0, min(30.0, bias + float(w.sum())))))
             g = p - y
@@ -67,8 +65,8 @@ def train(rows: list[tuple[np.ndarray, int]], share: float | None = None) -> tup
             n[at] = na + g * g
             s = (math.sqrt(bias_n + g * g) - math.sqrt(bias_n)) / ALPHA
             bias_z, bias_n = bias_z + g - s * bias, bias_n + g * g
-    at = np.flatnonzero(np.abs(z) > l1).astype(np.int32)
-    w = -(z[at] - np.sign(z[at]) * l1) / ((BETA + np.sqrt(n[at])) / ALPHA + L2)
+    at = np.flatnonzero(np.abs(z) > L1).astype(np.int32)
+    w = -(z[at] - np.sign(z[at]) * L1) / ((BETA + np.sqrt(n[at])) / ALPHA + L2)
     bias = -bias_z / ((BETA + math.sqrt(bias_n)) / ALPHA)
     seen = sum(y for _, y in rows) / len(rows)
     if share is not None and 0 < share < 1:
