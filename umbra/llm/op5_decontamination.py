@@ -1,6 +1,6 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
-Numbers, units behind or before them, and names (capitalised words inside a sentence) become typed placeholders, each
+Numbers, units behind or before them, and names (capitalised words inside a sentence, not all in capitals) become typed placeholders, each
 one token; case and punctuation go. A window is ``WINDOW`` tokens. A document contains an item if it holds at least
 ``CONTAINMENT`` of the item's windows in one region, with slots filled consistently: wherever the item repeats a value,
 the document repeats the value that mostly stands for it; windows that break this don't count. So a question whose
@@ -39,7 +39,7 @@ def tokens(text: Column, values: bool) -> Column:
     keep = lambda kind, group: f"\u0001{kind}" + (f"\u0002${group}" if values else "")
     out = F.translate(text, "\u0001\u0002\u0003", "   ")
     out = F.regexp_replace(out, r"(\d)[.,](?=\d)", "$1\u0003")
-    out = F.regexp_replace(out, r"(\p{Lu}(?<=[\p{Ll}\d,;] \p{Lu})\p{L}*)", keep("p", 1))
+    out = F.regexp_replace(out, r"(\p{Lu}(?<=[\p{Ll}\d,;] \p{Lu})\p{Ll}\p{L}*)", keep("p", 1))
     out = F.regexp_replace(out, rf"(?i)(\d[\d\u0003]*)\s?({_UNITS})(?![\p{{L}}\d])", f" {keep('n', 1)} {keep('u', 2)} ")
     out = F.regexp_replace(out, r"([$€£])\s?(?=\d)", f" {keep('u', 1)} ")
     out = F.regexp_replace(out, r"(?<![\d\u0002\u0003])(\d[\d\u0003]*)", keep("n", 1))
