@@ -1,12 +1,319 @@
-"""Registered queries of the redaction engine and their SQL oracles."""
+"""Registered queries of the redaction engine and their SQL oracles.
+
+Every query has a twin in SQL that takes another way to the same rows. Small inputs that both sides share are VALUES
+tables, which both dialects read.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from umbra.functions import geometry as G
+from umbra.functions import text as T
+from umbra.functions import validators as V
+from umbra.operators import booking, conflict, effects, leaks, lines, mask, patterns
+from umbra.plans import redaction
+from umbra.sources.runs import SHEET, page_boxes, text_runs
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["pat_default_run"](spark, sf_dir)
+    return QUERIES["detect_by_lang"](spark, sf_dir)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _values(columns: str, rows: list[tuple]) -> str:
+    """A VALUES table that Spark and DuckDB both read."""
+
+    def literal(v):
+        if v is None:
+            return "NULL"
+        if isinstance(v, bool):
+            return "TRUE" if v else "FALSE"
+        if isinstance(v, float):
+            return f"CAST('{'NaN' if v != v else 'Infinity' if v == float('inf') else '-Infinity' if v == -float('inf') else repr(v)}' AS DOUBLE)"
+        if isinstance(v, int):
+            return f"CAST({v} AS BIGINT)"
+        return "'" + v.replace("'", "''") + "'"
+
+    return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) AS t({columns}))"
+
+
+# ---------------------------------------------------------------- lines and places
+
+RUNS = """(SELECT doc_id, CAST(k AS BIGINT) AS run_seq, CAST(k // 50 AS BIGINT) AS page, ls[k + 1] AS text, 780.0::DOUBLE - 14.0::DOUBLE * (k % 50) AS lly
+  FROM (SELECT doc_id, ls, unnest(range(len(ls))) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))
+  WHERE ls[k + 1] <> '')"""
+
+
+def _runs(spark, sf_dir):
+    return text_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query(f"SELECT doc_id, page, COUNT(*) AS n_lines, CAST(SUM(length(text)) AS BIGINT) AS n_chars, MIN(lly) AS lowest, CAST(SUM(run_seq) AS BIGINT) AS seqs FROM {RUNS} GROUP BY doc_id, page")
+def runs_extract(spark, sf_dir):
+    return _runs(spark, sf_dir).groupBy("doc_id", "page").agg(F.count("*").alias("n_lines"), F.sum(F.length("text")).alias("n_chars"), F.min("lly").alias("lowest"), F.sum("run_seq").alias("seqs"))
+
+
+@query(f"SELECT doc_id, MAX(page) + 1 AS pages, 0.0::DOUBLE AS sheet_llx, 0.0::DOUBLE AS sheet_lly, 595.0::DOUBLE AS sheet_urx, 842.0::DOUBLE AS sheet_ury FROM {RUNS} GROUP BY doc_id")
+def page_count(spark, sf_dir):
+    return page_boxes(_runs(spark, sf_dir))
+
+
+@query(f"SELECT doc_id, page, string_agg(text, chr(10) ORDER BY run_seq) AS content FROM {RUNS} GROUP BY doc_id, page")
+def page_text(spark, sf_dir):
+    return leaks.page_texts(_runs(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- geometry
+
+NAN, INF = float("nan"), float("inf")
+_PAIRS = _values(
+    "id, llx, lly, urx, ury, o_llx, o_lly, o_urx, o_ury",
+    [
+        (k, *map(float, r))
+        for k, r in enumerate(
+            [
+                (0, 0, 10, 10, 0, 0, 10, 10), (0, 0, 10, 10, 5, 5, 15, 15), (0, 0, 10, 10, 10, 0, 20, 10), (0, 0, 100, 10, 40, 0, 200, 10), (0, 0, 100, 10, 60, 0, 200, 10),
+                (0, 0, 0, 10, -1, -1, 1, 11), (5, 5, 5, 5, 0, 0, 10, 10), (5, 5, 5, 5, 6, 6, 10, 10), (10, 10, 0, 0, 0, 0, 10, 10), (0, 0, 1e308, 1e308, 0, 0, 1e308, 1e308),
+                (NAN, 0, 10, 10, 0, 0, 10, 10), (0, NAN, 10, 10, 0, 0, 10, 10), (0, 0, NAN, 10, 0, 0, 10, 10), (0, 0, 10, NAN, 0, 0, 10, 10), (0, 0, 10, 10, NAN, 0, 10, 10),
+                (0, 0, 10, 10, 0, 0, INF, 10), (-INF, 0, 10, 10, 0, 0, 10, 10), (0, 0, INF, INF, 0, 0, 10, 10), (0, 0, 1010, 10, 0, 0, 1000, 10), (0, 0, 1000.5, 10, 0, 0, 1000, 10),
+            ]
+        )
+    ],
+)
+
+
+def _sql_rect(p):
+    c = [f"{p}llx", f"{p}lly", f"{p}urx", f"{p}ury"]
+    return " AND ".join(f"isfinite({x})" for x in c)
+
+
+_UA, _UB = f"({_sql_rect('')})", f"({_sql_rect('o_')})"
+_SQL_AREA = f"(CASE WHEN {_UA} THEN greatest(urx - llx, 0.0::DOUBLE) * greatest(ury - lly, 0.0::DOUBLE) ELSE 0.0::DOUBLE END)"
+_SQL_INTER = f"(CASE WHEN {_UA} AND {_UB} THEN greatest(least(urx, o_urx) - greatest(llx, o_llx), 0.0::DOUBLE) * greatest(least(ury, o_ury) - greatest(lly, o_lly), 0.0::DOUBLE) ELSE 0.0::DOUBLE END)"
+_SQL_COVER = (
+    f"(CASE WHEN {_SQL_AREA} <= 2.220446049250313e-16 THEN (CASE WHEN {_UB} AND isfinite((llx + urx) / 2) AND isfinite((lly + ury) / 2) AND (llx + urx) / 2 BETWEEN o_llx AND o_urx AND (lly + ury) / 2 BETWEEN o_lly AND o_ury THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)"
+    f" WHEN isfinite({_SQL_INTER} / {_SQL_AREA}) THEN {_SQL_INTER} / {_SQL_AREA} ELSE 0.0::DOUBLE END)"
+)
+
+
+@query(
+    f"SELECT id, {_UA} AS usable, (NOT {_UA} OR urx - llx <= 0 OR ury - lly <= 0) AS is_empty, {_SQL_COVER} AS covered,"
+    f" ({_UA} AND {_UB} AND llx < o_urx AND o_llx < urx AND lly < o_ury AND o_lly < ury) AS meets, ({_UA} AND {_UB} AND llx <= o_urx AND o_llx <= urx AND lly <= o_ury AND o_lly <= ury) AS touches FROM {_PAIRS}"
+)
+def geo_covered_fraction(spark, sf_dir):
+    a, b = G.rect(), G.rect("o_")
+    return spark.sql(f"SELECT * FROM {_PAIRS}").select("id", G.usable(a).alias("usable"), G.empty(a).alias("is_empty"), G.covered_fraction(a, b).alias("covered"), G.intersects(a, b).alias("meets"), G.touches(a, b).alias("touches"))
+
+
+@query(
+    f"""SELECT id, good, CASE WHEN good THEN llx ELSE 0 END AS llx, CASE WHEN good THEN lly ELSE 0 END AS lly, CASE WHEN good THEN urx ELSE 595.276 END AS urx, CASE WHEN good THEN ury ELSE 841.89 END AS ury
+    FROM (SELECT *, {_UA} AND urx - llx BETWEEN 1 AND 200000 AND ury - lly BETWEEN 1 AND 200000 AS good FROM {_PAIRS})"""
+)
+def geo_sane_box(spark, sf_dir):
+    box, replaced = G.sane_box(G.rect())
+    return spark.sql(f"SELECT * FROM {_PAIRS}").select("id", (~replaced).alias("good"), *box.named())
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, a*x + c*y + e AS px, b*x + d*y + f AS py, round(x - (( d*(px0 - e) - c*(py0 - f)) / (a*d - b*c)), 6) + 0.0 AS ex
+    FROM (SELECT *, a*x + c*y + e AS px0, b*x + d*y + f AS py0 FROM (SELECT l_orderkey, l_linenumber, l_quantity AS x, l_discount AS y, 2.0::DOUBLE AS a, 0.5::DOUBLE AS b, -1.0::DOUBLE AS c, 3.0::DOUBLE AS d, l_tax AS e, 7.0::DOUBLE AS f FROM lineitem))"""
+)
+def geo_matrix(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("x"), F.col("l_discount").alias("y"), "l_tax")
+    m = [F.lit(2.0), F.lit(0.5), F.lit(-1.0), F.lit(3.0), F.col("l_tax"), F.lit(7.0)]
+    px, py = G.matrix_apply(m, F.col("x"), F.col("y"))
+    back, _ = G.matrix_apply(G.matrix_invert(m), px, py)
+    return li.select("l_orderkey", "l_linenumber", px.alias("px"), py.alias("py"), (F.round(F.col("x") - back, 6) + 0.0).alias("ex"))
+
+
+# ---------------------------------------------------------------- validators
+
+_CODES = [
+    "DE89370400440532013000", "de89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "DE88370400440532013000", "DE89370400", "DE89-3704-0044-0532-0130-00", "DE98ZZZ09999999999",
+    "AT61ZZZ01234567890", "DE24ABC00000561652", "FR72ZZZ123456", "DE99ZZZ09999999999", "DE98ZZZ", "XX98ZZZ09999999999", "DEUTDEFF", "COBADEFFXXX", "GENODEF1S01", "MARKDEF1100", "RECHNUNG",
+    "KUNDENNUMMER", "DEUTDEF", "DEUT1EFF", "4539 1488 0343 6467", "79927398713", "4539 1488 0343 6468", "1234567890123", "", "0", "00", "é1",
+]
+_CODE_TABLE = _values("s", [(c,) for c in _CODES])
+_COUNTRY_SQL = ", ".join(f"'{c}'" for c in V.COUNTRIES)
+
+
+def _sql_mod97(s):
+    digits = f"string_split(regexp_replace(list_reduce(list_transform(string_split(substr({s}, 5) || substr({s}, 1, 4), ''), lambda c: CASE WHEN c BETWEEN 'A' AND 'Z' THEN CAST(ascii(c) - 55 AS VARCHAR) ELSE c END), lambda a, b: a || b), '', ''), '')"
+    return f"(CASE WHEN regexp_full_match({s}, '[A-Z]{{2}}[0-9]{{2}}[0-9A-Z]+') THEN list_reduce(list_transform({digits}, lambda d: CAST(d AS BIGINT)), lambda a, d: (a * 10 + d) % 97) = 1 ELSE FALSE END)"
+
+
+@query(
+    f"""SELECT s, (length(c) BETWEEN 15 AND 34 AND {_sql_mod97("c")}) AS iban,
+    (regexp_full_match(c, '[\\x00-\\x7F]*') AND length(c) BETWEEN 8 AND 35 AND substr(c, 1, 2) IN ({_COUNTRY_SQL}) AND {_sql_mod97("(substr(c, 1, 4) || substr(c, 8))")}) AS creditor,
+    (regexp_full_match(c, '[A-Z]{{6}}[A-Z0-9]{{2}}([A-Z0-9]{{3}})?') AND substr(c, 5, 2) IN ({_COUNTRY_SQL})) AS bic
+    FROM (SELECT s, upper(regexp_replace(s, '\\s', '', 'g')) AS c FROM {_CODE_TABLE})"""
+)
+def val_codes(spark, sf_dir):
+    return spark.sql(f"SELECT * FROM {_CODE_TABLE}").select("s", *(f(F.col("s")).alias(n) for n, f in (("iban", V.iban), ("creditor", V.creditor_id), ("bic", V.bic))))
+
+
+_SQL_LUHN = "(CASE WHEN length(d) < 2 THEN FALSE ELSE list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr(reverse(d), i, 1) AS BIGINT) ELSE (CAST(substr(reverse(d), i, 1) AS BIGINT) * 2) // 10 + (CAST(substr(reverse(d), i, 1) AS BIGINT) * 2) % 10 END)) % 10 = 0 END)"
+
+
+@query(f"SELECT s, {_SQL_LUHN} AS ok FROM (SELECT s, regexp_replace(s, '[^0-9]', '', 'g') AS d FROM (SELECT s FROM {_CODE_TABLE} UNION ALL SELECT CAST(o_orderkey * 7919 AS VARCHAR) FROM orders))")
+def val_luhn(spark, sf_dir):
+    codes = spark.sql(f"SELECT s FROM {_CODE_TABLE}").union(table(spark, sf_dir, "orders").select((F.col("o_orderkey") * 7919).cast("string")))
+    return codes.select("s", V.luhn(F.col("s")).alias("ok"))
+
+
+# ---------------------------------------------------------------- patterns
+
+# An account statement of thirty lines and what a run with the default patterns finds in it.
+STATEMENT = [
+    "Musterbank AG - Kontoauszug Nr. 1/2026", "Kontoinhaber: Max Mustermann", "Musterstrasse 12, 10115 Berlin", "IBAN: DE89 3704 0044 0532 0130 00", "BIC: COBADEFFXXX", "Kontonummer: 532013000",
+    "Bankleitzahl: 37040044", "Auszug vom 01.01.2026 bis 31.01.2026", "Alter Kontostand: 2.480,15 EUR", "Datum       Vorgang                                     Betrag",
+    "05.01.2026  Ueberweisung an Musterfirma GmbH       1.234,56 EUR", "            Kto. 4711 0815 BLZ 50010517  Rechnung Nr. 2026-0042", "12.01.2026  Gehalt Arbeitgeber XY AG                3.500,00 EUR",
+    "            Lohn/Gehalt 01/2026 Personalnummer 8891234", "18.01.2026  Lastschrift Stadtwerke Musterstadt         89,90 EUR", "            Vertragskonto 30012345 Abschlag Strom",
+    "23.01.2026  Ueberweisung an Musterfirma GmbH          420,00 EUR", "            Verwendungszweck: Miete Februar 2026", "25.01.2026  Kartenzahlung Supermarkt Filiale 4021       67,45 EUR",
+    "27.01.2026  Dauerauftrag Versicherung Police 90123456   58,00 EUR", "29.01.2026  Gutschrift Erstattung Finanzamt            215,30 EUR", "31.01.2026  Entgeltabrechnung Kontofuehrung              4,90 EUR",
+    "Neuer Kontostand: 5.795,60 EUR", "Empfaenger-IBAN: DE02 1203 0000 0000 2020 51", "Glaeubiger-ID: DE98ZZZ09999999999", "Kontakt: max.mustermann@example.org", "Telefon: +49 30 123456789",
+    "Steuer-ID: 12345678901", "Filiale Berlin-Mitte, Telefon 030 987654321", "Seite 1 von 1 - erstellt am 01.02.2026",
+]
+GOLDEN = [
+    (3, "iban_de", "DE89 3704 0044 0532 0130 00", 0.99, 6), (4, "bic", "COBADEFFXXX", 0.99, 5), (5, "konto_nr", "532013000", 0.85, 13), (6, "blz", "37040044", 0.8, 14),
+    (11, "konto_nr", "4711 0815", 0.85, 17), (11, "blz", "50010517", 0.8, 31), (15, "konto_nr", "30012345", 0.85, 26), (23, "iban_de", "DE02 1203 0000 0000 2020 51", 0.99, 17),
+    (24, "glaeubiger_id", "DE98ZZZ09999999999", 0.99, 15), (25, "email", "max.mustermann@example.org", 0.9, 9), (26, "phone_de", "+49 30 123456789", 0.85, 9), (27, "steuer_id", "12345678901", 0.9, 11),
+    (28, "phone_de", "030 987654321", 0.85, 30),
+]
+_STATEMENT_TABLE = _values("doc_id, text", [(-1, "\n".join(STATEMENT))])
+
+
+def _statement(spark):
+    return text_runs(spark.createDataFrame([(-1, "\n".join(STATEMENT))], "doc_id long, text string"))
+
+
+_GOLDEN_TABLE = _values("run_seq, pattern_id, text, confidence, start", GOLDEN)
+
+
+@query(f"SELECT CAST(run_seq AS BIGINT) AS run_seq, pattern_id, text, confidence, start, 5.0::DOUBLE * start AS llx, 780.0::DOUBLE - 14.0::DOUBLE * run_seq AS lly, 5.0::DOUBLE * (start + length(text)) AS urx FROM {_GOLDEN_TABLE}")
+def pat_statement(spark, sf_dir):
+    return patterns.find(_statement(spark)).select("run_seq", "pattern_id", "text", "confidence", "start", "llx", "lly", "urx")
+
+
+_EMAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,}"
+_EMAIL_HITS = f"(SELECT doc_id, run_seq, page, lly, unnest(regexp_extract_all(text, '({_EMAIL})\\b', 1)) AS hit FROM {RUNS})"
+
+
+@query(f"SELECT doc_id, run_seq, page, hit AS text, 0.9::DOUBLE AS confidence FROM {_EMAIL_HITS}")
+def pat_email(spark, sf_dir):
+    return patterns.find(_runs(spark, sf_dir), patterns.select(["email"])).select("doc_id", "run_seq", "page", "text", "confidence")
+
+
+_CARD = "[0-9]{13,19}|[0-9]{4}(?:[\\s-][0-9]{4}){3}(?:[\\s-][0-9]{3})?|[0-9]{4}[\\s-][0-9]{6}[\\s-][0-9]{4,5}"
+_CARD_HITS = f"(SELECT * FROM (SELECT doc_id, run_seq, page, hit, regexp_replace(hit, '[^0-9]', '', 'g') AS d FROM (SELECT doc_id, run_seq, page, unnest(regexp_extract_all(text, '\\b({_CARD})\\b', 1)) AS hit FROM {RUNS})) WHERE {_SQL_LUHN})"
+
+
+@query(f"SELECT doc_id, run_seq, page, hit AS text, 0.99::DOUBLE AS confidence FROM {_CARD_HITS}")
+def pat_credit_card(spark, sf_dir):
+    return patterns.find(_runs(spark, sf_dir), patterns.select(["credit_card"])).select("doc_id", "run_seq", "page", "text", "confidence")
+
+
+_PHONE = "(?:\\+49|0049)[ /-]?(?:\\(0\\)[ /-]?)?[1-9][0-9 /-]{5,14}[0-9]|0[1-9][0-9 /-]{5,14}[0-9]|\\(0[1-9][0-9]{1,4}\\)[ /-]?[0-9][0-9 /-]{3,12}[0-9]"
+_DEFAULT_HITS = f"""(SELECT doc_id, 'email' AS pattern_id FROM {_EMAIL_HITS} UNION ALL SELECT doc_id, 'credit_card' FROM {_CARD_HITS})"""
+
+
+@query(f"SELECT lang, pattern_id, COUNT(*) AS hits, COUNT(DISTINCT doc_id) AS docs FROM {_DEFAULT_HITS} JOIN documents USING (doc_id) WHERE pattern_id IN ('email', 'credit_card') GROUP BY lang, pattern_id")
+def detect_by_lang(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = patterns.find(text_runs(docs.select("doc_id", "text")), patterns.select(["credit_card", "email"]))
+    return found.join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang", "pattern_id").agg(F.count("*").alias("hits"), F.count_distinct("doc_id").alias("docs"))
+
+
+def pat_default_run(spark, sf_dir):
+    """Hits of all default patterns over the documents, by pattern."""
+    return patterns.find(_runs(spark, sf_dir)).groupBy("pattern_id").agg(F.count("*").alias("hits"))
+
+
+QUERIES["pat_default_run"] = pat_default_run
+
+
+@query(f"SELECT run_seq, pattern_id, text, confidence, start FROM {_GOLDEN_TABLE} UNION ALL SELECT * FROM {_values('run_seq, pattern_id, text, confidence, start', [])[:0] or _values('run_seq, pattern_id, text, confidence, start', [(13, 'konto_nr', '8891234', 0.3, 47), (19, 'konto_nr', '90123456', 0.3, 45)])} WHERE pattern_id = 'konto_nr'")
+def pat_low_threshold(spark, sf_dir):
+    """A low threshold adds account-shaped numbers without a keyword."""
+    found = patterns.find(_statement(spark), None, 0.25)
+    golden = spark.sql(f"SELECT pattern_id, text FROM {_GOLDEN_TABLE} UNION ALL SELECT 'konto_nr', '8891234' UNION ALL SELECT 'konto_nr', '90123456'")
+    return found.join(golden, ["pattern_id", "text"], "left_semi").select("run_seq", "pattern_id", "text", "confidence", "start")
+
+
+_CUSTOM = {"extend_builtins": False, "patterns": [{"id": "order_no", "regex": r"Nr\. (?<target>[0-9/-]+)", "confidence": 0.7}, {"id": "amount", "regex": r"[0-9.]+,[0-9]{2}(?= EUR)", "confidence": 0.6}]}
+_STATEMENT_RUNS = RUNS.replace("FROM documents", f"FROM {_STATEMENT_TABLE}")
+
+
+@query(
+    f"""SELECT run_seq, 'order_no' AS pattern_id, unnest(regexp_extract_all(text, 'Nr\\. ([0-9/-]+)', 1)) AS text FROM {_STATEMENT_RUNS}
+    UNION ALL SELECT run_seq, 'amount', unnest(regexp_extract_all(text, '([0-9.]+,[0-9]{{2}}) EUR', 1)) FROM {_STATEMENT_RUNS}"""
+)
+def pat_custom(spark, sf_dir):
+    return patterns.find(_statement(spark), patterns.resolve(_CUSTOM)).select("run_seq", "pattern_id", "text")
+
+
+@query(f"SELECT run_seq, pattern_id, text FROM {_GOLDEN_TABLE} WHERE pattern_id NOT IN ('konto_nr', 'blz')")
+def pat_disabled(spark, sf_dir):
+    return patterns.find(_statement(spark), patterns.without(patterns.BUILTIN, ["konto_nr", "blz"])).select("run_seq", "pattern_id", "text")
+
+
+# ---------------------------------------------------------------- booking list
+
+ENTRIES = [
+    booking.Entry("p1", "positive", "de la"), booking.Entry("n1", "negative", "de la que"), booking.Entry("p2", "positive", "the"), booking.Entry("p3", "positive", "  Aux   Mentre "),
+    booking.Entry("n2", "negative", "and the"), booking.Entry("p4", "positive", "of", "the", None), booking.Entry("p5", "positive", "para", None, "la"), booking.Entry("p6", "positive", "ü"),
+]
+_ENTRY_TABLE = _values("entry_seq, booking_id, match_type, needle, bef, aft", booking.compiled(ENTRIES))
+_BOOKED = f"""(SELECT doc_id, run_seq, page, lly, entry_seq, booking_id, match_type, needle, bef, aft, norm, CAST(list_sum(list_transform(parts[:k], lambda p: length(p))) + (k - 1) * length(needle) AS BIGINT) AS start
+  FROM (SELECT *, unnest(range(1, len(parts))) AS k FROM (SELECT *, string_split(norm, needle) AS parts FROM (SELECT *, lower(text) AS norm FROM {RUNS}) JOIN {_ENTRY_TABLE} e ON contains(norm, needle))))"""
+_BOOKED_OK = f"""(SELECT * FROM {_BOOKED} WHERE (bef IS NULL OR (contains(norm, bef) AND strpos(norm, bef) - 1 + length(bef) <= start)) AND (aft IS NULL OR (contains(norm, aft) AND length(norm) - strpos(reverse(norm), reverse(aft)) - length(aft) + 1 >= start + length(needle))))"""
+
+
+def _booked(spark, sf_dir):
+    return booking.find(_runs(spark, sf_dir), ENTRIES)
+
+
+@query(f"SELECT doc_id, booking_id, match_type, COUNT(*) AS hits, CAST(SUM(start) AS BIGINT) AS starts, CAST(SUM(run_seq) AS BIGINT) AS runs FROM {_BOOKED_OK} GROUP BY doc_id, booking_id, match_type")
+def book_hits(spark, sf_dir):
+    return _booked(spark, sf_dir).groupBy("doc_id", "booking_id", "match_type").agg(F.count("*").alias("hits"), F.sum("start").alias("starts"), F.sum("run_seq").alias("runs"))
+
+
+@query(f"SELECT doc_id, run_seq, booking_id, start, 5.0::DOUBLE * start - 2 AS llx, lly - 2 AS lly, 5.0::DOUBLE * (start + length(needle)) + 2 AS urx, lly + 12 AS ury FROM {_BOOKED_OK} WHERE match_type = 'negative'")
+def book_negative(spark, sf_dir):
+    return _booked(spark, sf_dir).where("match_type = 'negative'").select("doc_id", "run_seq", "booking_id", "start", "llx", "lly", "urx", "ury")
+
+
+@query(f"SELECT doc_id, run_seq, booking_id, start FROM {_BOOKED_OK} WHERE booking_id IN ('p4', 'p5')")
+def book_context(spark, sf_dir):
+    return _booked(spark, sf_dir).where("booking_id IN ('p4', 'p5')").select("doc_id", "run_seq", "booking_id", "start")
+
+
+@query(
+    f"""SELECT doc_id, run_seq, n_name, CAST(len(string_split(lower(text), lower(n_name))) - 1 AS BIGINT) AS hits FROM {RUNS}, (SELECT n_name FROM nation UNION ALL SELECT s_name FROM supplier UNION ALL SELECT DISTINCT regexp_extract(text, '^(\\S+ \\S+)', 1) FROM benchmark WHERE regexp_matches(text, '^\\S+ \\S+'))
+    WHERE contains(lower(text), lower(n_name))"""
+)
+def book_large_list(spark, sf_dir):
+    """A list of some hundred entries goes through the automaton."""
+    names = [r[0] for r in table(spark, sf_dir, "nation").select("n_name").collect()] + [r[0] for r in table(spark, sf_dir, "supplier").select("s_name").collect()]
+    names += sorted({" ".join(r[0].split(" ")[:2]) for r in table(spark, sf_dir, "benchmark").where(r"text rlike '^\\S+ \\S+'").select(F.regexp_extract("text", r"^(\S+ \S+)", 1)).collect()})
+    entries = [booking.Entry(n, "positive", n) for n in names]
+    found = booking.find(_runs(spark, sf_dir), entries)
+    return found.groupBy("doc_id", "run_seq", F.col("booking_id").alias("n_name")).agg(F.count("*").alias("hits"))
