@@ -32,18 +32,24 @@ def squeeze(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)\s", "")
 
 
+#: What keeps positions from staying the same when a text is normalised: runs of blanks, marks, ligatures, long lower forms.
+UNEVEN = r"(?U)\s\s|[\u0300-\u030C\u0327\uFB00-\uFB06\u0130]"
+
+
 def expand_ligatures(text: Column) -> Column:
+    out = text
     for letter, letters in LIGATURES.items():
-        text = F.replace(text, F.lit(letter), F.lit(letters))
-    return text
+        out = F.replace(out, F.lit(letter), F.lit(letters))
+    return F.when(text.rlike(r"[\uFB00-\uFB06]"), out).otherwise(text)
 
 
 def compose(text: Column) -> Column:
     """Lower-case letters with a combining mark behind them as single characters, for the pairs that are known."""
+    out = text
     for mark, (bases, composed) in MARKS.items():
         for base, one in zip(bases, composed, strict=True):
-            text = F.replace(text, F.lit(base + mark), F.lit(one))
-    return text
+            out = F.replace(out, F.lit(base + mark), F.lit(one))
+    return F.when(text.rlike(r"[\u0300-\u030C\u0327]"), out).otherwise(text)
 
 
 def fold(text: Column) -> Column:

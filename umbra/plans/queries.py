@@ -317,3 +317,293 @@ def book_large_list(spark, sf_dir):
     entries = [booking.Entry(n, "positive", n) for n in names]
     found = booking.find(_runs(spark, sf_dir), entries)
     return found.groupBy("doc_id", "run_seq", F.col("booking_id").alias("n_name")).agg(F.count("*").alias("hits"))
+
+
+# ---------------------------------------------------------------- conflicts
+
+#: Regions in several layouts; rows of kind booking and negative block others.
+_LAYOUT = [
+    (1, 0, 0, "pattern", "iban_de", None, 0.99, "a", 10, 10, 50, 20), (1, 0, 1, "booking", "b003", "negative", None, "neg", 0, 0, 100, 30), (1, 0, 2, "booking", "b004", "negative", None, "later", 0, 0, 100, 30),
+    (1, 1, 3, "pattern", "iban_de", None, 0.99, "other page", 10, 10, 50, 20), (1, 0, 4, "manual", "by hand", None, None, "m", 10, 10, 50, 20),
+    (2, 0, 0, "pattern", "blz", None, 0.8, "sixty", 0, 0, 100, 10), (2, 0, 1, "booking", "n", "negative", None, "x", 40, 0, 200, 10),
+    (3, 0, 0, "pattern", "blz", None, 0.8, "forty", 0, 0, 100, 10), (3, 0, 1, "booking", "n", "negative", None, "x", 60, 0, 200, 10),
+    (4, 0, 0, "pattern", "p", None, 0.9, "99.0", 0, 0, 1010, 10), (4, 0, 1, "pattern", "p", None, 0.9, "inner", 0, 0, 1000, 10), (4, 0, 2, "pattern", "p", None, 0.9, "right", 500, 0, 1400, 10),
+    (5, 0, 0, "pattern", "p", None, 0.9, "99.95", 0, 0, 1000.5, 10), (5, 0, 1, "pattern", "p", None, 0.9, "inner", 0, 0, 1000, 10),
+    (6, 0, 0, "pattern", "p", None, 0.9, "same", 0, 0, 10, 10), (6, 0, 1, "pattern", "q", None, 0.9, "same", 0, 0, 10, 10), (6, 0, 2, "pattern", "p", None, 0.9, "again", 0, 0, 10, 10), (6, 0, 3, "pattern", "p", None, 0.8, "other confidence", 0, 0, 10, 10),
+    (7, 0, 0, "pattern", "p", None, 0.9, "nan", NAN, 0, 10, 10), (7, 0, 1, "booking", "n", "negative", None, "inf", 0, 0, INF, 10), (7, 0, 2, "pattern", "p", None, 0.9, "fine", 0, 0, 10, 10), (7, 0, 3, "booking", "n2", "negative", None, "flat", 0, 5, 10, 5),
+    (8, 0, 0, "pattern", "p", None, 0.9, "point", 5, 5, 5, 5), (8, 0, 1, "booking", "big", "negative", None, "wide", -5000, -5000, 5000, 5000),
+]
+_LAYOUT_TABLE = _values("doc_id, page, seq, kind, ref, match_type, confidence, text, llx, lly, urx, ury", [(*r[:8], *map(float, r[8:])) for r in _LAYOUT])
+_NEG = f"(SELECT doc_id AS d, page AS p, seq AS s, ref AS o_ref, text AS o_text, llx AS o_llx, lly AS o_lly, urx AS o_urx, ury AS o_ury FROM {_LAYOUT_TABLE} WHERE kind = 'booking' AND match_type = 'negative')"
+_CANDS = f"(SELECT * FROM {_LAYOUT_TABLE} WHERE NOT (kind = 'booking' AND coalesce(match_type, '') = 'negative'))"
+_BLOCKED_SQL = f"(SELECT doc_id, page, seq, arg_min(o_ref, s) AS booking_id, arg_min(o_text, s) AS pattern FROM {_CANDS} JOIN {_NEG} ON doc_id = d AND page = p WHERE kind <> 'manual' AND {_SQL_COVER} >= 0.5 GROUP BY doc_id, page, seq)"
+
+
+def _layout(spark):
+    return spark.sql(f"SELECT * FROM {_LAYOUT_TABLE}")
+
+
+@query(f"SELECT b.doc_id, b.page, b.seq, b.booking_id, b.pattern, CASE kind WHEN 'pattern' THEN 'pattern: ' || ref || ' (confidence ' || printf('%.2f', confidence) || ')' ELSE ref END AS blocked_reason FROM {_BLOCKED_SQL} b JOIN {_LAYOUT_TABLE} USING (doc_id, page, seq)")
+def conflict_blocked(spark, sf_dir):
+    return conflict.resolve(_layout(spark))[1].select("doc_id", "page", "seq", "booking_id", "pattern", "blocked_reason")
+
+
+_LEFT = f"(SELECT * FROM {_CANDS} c ANTI JOIN {_BLOCKED_SQL} b USING (doc_id, page, seq))"
+_OTHER = f"(SELECT doc_id AS d, page AS p, seq AS s, kind AS k, ref AS r, match_type AS m, confidence AS c, llx AS o_llx, lly AS o_lly, urx AS o_urx, ury AS o_ury FROM {_LEFT})"
+
+
+@query(
+    f"""SELECT doc_id, page, seq, text FROM {_LEFT} x WHERE NOT EXISTS (SELECT 1 FROM {_OTHER} WHERE d = doc_id AND p = page AND k = kind AND r = ref AND m IS NOT DISTINCT FROM match_type AND c IS NOT DISTINCT FROM confidence
+    AND (o_llx < llx OR (o_llx = llx AND s < seq)) AND {_SQL_COVER} >= 0.999)"""
+)
+def conflict_redact(spark, sf_dir):
+    return conflict.resolve(_layout(spark))[0].select("doc_id", "page", "seq", "text")
+
+
+@query(f"SELECT doc_id, COUNT(*) AS n FROM {_LAYOUT_TABLE} GROUP BY doc_id")
+def candidate_budget(spark, sf_dir):
+    return conflict.within_budget(_layout(spark), 10).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+_BOOK_NEG_SQL = "(SELECT doc_id, run_seq, page, start, 5.0::DOUBLE * start - 2 AS a, 5.0::DOUBLE * (start + length(needle)) + 2 AS b, lly - 2 AS c, lly + 12 AS d FROM {} WHERE match_type = 'negative')"
+_COMMON = [booking.Entry("pos", "positive", "the of"), booking.Entry("neg", "negative", "in the of")]
+_COMMON_TABLE = _values("entry_seq, booking_id, match_type, needle, bef, aft", booking.compiled(_COMMON))
+_COMMON_SQL = _BOOKED.replace(_ENTRY_TABLE, _COMMON_TABLE)
+
+
+def _common(spark, sf_dir):
+    runs = _runs(spark, sf_dir)
+    return runs, conflict.collect(None, booking.find(runs, _COMMON), patterns.find(runs, patterns.select(["email", "credit_card"])))
+
+
+_COMMON_LEFT = f"""(SELECT doc_id, page, run_seq, start, length(needle) AS n, lly FROM {_COMMON_SQL} p WHERE booking_id = 'pos' AND NOT EXISTS (SELECT 1 FROM {_BOOK_NEG_SQL.format(_COMMON_SQL)} q
+   WHERE q.doc_id = p.doc_id AND q.run_seq = p.run_seq AND least(q.b, 5.0::DOUBLE * (p.start + length(needle))) - greatest(q.a, 5.0::DOUBLE * p.start) >= 0.5 * 5.0 * length(needle)))"""
+_ALL_LEFT = f"""(SELECT doc_id, page, run_seq, start, n, lly FROM {_COMMON_LEFT} UNION ALL SELECT doc_id, page, run_seq, strpos(text, hit) - 1, length(hit), lly FROM (SELECT r.*, h.hit FROM {RUNS} r JOIN (SELECT doc_id, run_seq, hit FROM {_EMAIL_HITS} UNION ALL SELECT doc_id, run_seq, hit FROM {_CARD_HITS}) h USING (doc_id, run_seq)))"""
+
+
+@query(f"SELECT doc_id, COUNT(*) AS n, CAST(SUM(start) AS BIGINT) AS starts FROM {_ALL_LEFT} GROUP BY doc_id")
+def conflict_documents(spark, sf_dir):
+    """Lists and patterns over all documents, negative entries respected."""
+    _, regions = _common(spark, sf_dir)
+    kept, _ = conflict.resolve(regions)
+    return kept.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("seq.start").alias("starts"))
+
+
+# ---------------------------------------------------------------- masking and effects
+
+
+@query(
+    f"""SELECT doc_id, run_seq, list_reduce(list_prepend('', list_transform(range(length(text)), lambda i: CASE WHEN list_bool_or(list_transform(hs, lambda h: i BETWEEN h[1] AND h[2])) THEN '█' ELSE substr(text, CAST(i + 1 AS BIGINT), 1) END)), lambda a, b: a || b) AS masked,
+    CAST(len(list_filter(range(length(text)), lambda i: list_bool_or(list_transform(hs, lambda h: i BETWEEN h[1] AND h[2])))) AS BIGINT) AS removed
+    FROM (SELECT doc_id, run_seq, text, list([start, start + n - 1]) AS hs FROM {_ALL_LEFT} JOIN (SELECT doc_id, run_seq, text FROM {RUNS}) USING (doc_id, run_seq) GROUP BY doc_id, run_seq, text)"""
+)
+def mask_text(spark, sf_dir):
+    runs, regions = _common(spark, sf_dir)
+    kept, _ = conflict.resolve(regions)
+    return mask.mask(runs, mask.hidden_spans(runs, kept)).where("removed > 0").select("doc_id", "run_seq", "masked", "removed")
+
+
+@query(f"SELECT doc_id, run_seq, regexp_replace(text, '({_EMAIL})\\b', '[GESCHWÄRZT]', 'g') AS masked FROM {RUNS} WHERE regexp_matches(text, '({_EMAIL})\\b')")
+def mask_replace(spark, sf_dir):
+    runs = _runs(spark, sf_dir)
+    regions = conflict.collect(None, None, patterns.find(runs, patterns.select(["email"])))
+    return mask.mask(runs, mask.hidden_spans(runs, regions), "replace").where("removed > 0").select("doc_id", "run_seq", "masked")
+
+
+_RECTS = _values("doc_id, page, seq, kind, ref, match_type, confidence, text, llx, lly, urx, ury", [
+    (-1, 0, k, "manual", f"r{k}", None, None, None, *map(float, r))
+    for k, r in enumerate([(0, 780, 50, 790), (52, 780, 61, 790), (0, 785, 30, 800), (0, 787.6, 30, 800), (0, 766, 3, 776), (600, 752, 900, 762), (-50, 0, -10, 10), (5, 5, 5, 5), (700, 900, 800, 950), (NAN, 0, 1, 1), (10, 745, 40, 775), (33, 724, 34, 734)])
+] + [(-1, 4, 50, "manual", "gone", None, None, None, 0.0, 0.0, 10.0, 10.0)])
+_PADDED = f"(SELECT seq, page, llx - 1 AS x0, lly - 1 AS y0, urx + 1 AS x1, ury + 1 AS y1, llx, lly, urx, ury FROM {_RECTS})"
+_GLYPH_HITS = f"""(SELECT seq, r.page, run_seq, i FROM (SELECT *, unnest(range(length(text))) AS i FROM {_STATEMENT_RUNS}) g JOIN {_PADDED} r ON r.page = g.page AND isfinite(x0) AND isfinite(y0) AND isfinite(x1) AND isfinite(y1) AND x1 > x0 AND y1 > y0
+   WHERE greatest(least(x1, 5.0 * (i + 1)) - greatest(x0, 5.0 * i), 0) * greatest(least(y1, g.lly + 10) - greatest(y0, g.lly), 0) / 50.0 >= 0.25 OR (5.0 * i + 2.5 BETWEEN x0 AND x1 AND g.lly + 5 BETWEEN y0 AND y1))"""
+
+
+def _manual_rects(spark):
+    return spark.sql(f"SELECT * FROM {_RECTS}")
+
+
+@query(f"SELECT seq, run_seq, MIN(i) AS lo, MAX(i) AS hi FROM {_GLYPH_HITS} GROUP BY seq, run_seq")
+def glyph_select(spark, sf_dir):
+    return mask.hidden_spans(_statement(spark), _manual_rects(spark)).select("seq", "run_seq", "lo", "hi")
+
+
+_EFFECT_SQL = f"""(SELECT p.seq, p.page, coalesce(n, 0) AS removed_glyphs, CASE WHEN p.page >= 1 THEN 'missing_page' WHEN NOT (isfinite(x0) AND isfinite(y0) AND isfinite(x1) AND isfinite(y1)) OR x1 <= x0 OR y1 <= y0 THEN 'degenerate'
+   WHEN NOT (least(urx, 595) > greatest(llx, 0) AND least(ury, 842) > greatest(lly, 0)) THEN 'off_page' WHEN coalesce(n, 0) > 0 THEN 'applied' ELSE 'covered' END AS effect
+   FROM {_PADDED} p LEFT JOIN (SELECT seq, COUNT(*) AS n FROM {_GLYPH_HITS} GROUP BY seq) USING (seq))"""
+
+
+def _statement_effects(spark):
+    runs, rects = _statement(spark), _manual_rects(spark)
+    spans = mask.hidden_spans(runs, rects)
+    return effects.with_effects(mask.removed_by_region(rects, spans), page_boxes(runs))
+
+
+@query(f"SELECT seq, page, removed_glyphs, effect FROM {_EFFECT_SQL}")
+def effects_entries(spark, sf_dir):
+    return _statement_effects(spark).select("seq", "page", "removed_glyphs", "effect")
+
+
+_EFFECT_SUMS = ", ".join(f"COUNT(*) FILTER (WHERE effect = '{e}') AS {e}" for e in effects.EFFECTS)
+
+
+@query(
+    f"SELECT COUNT(*) AS requested, {_EFFECT_SUMS}, CAST(SUM(removed_glyphs) AS BIGINT) AS removed_glyphs, COUNT(*) FILTER (WHERE effect IN ('degenerate', 'missing_page', 'off_page')) AS ineffective, CAST(COUNT(DISTINCT effect) FILTER (WHERE effect <> 'applied') AS INTEGER) AS n_warnings FROM {_EFFECT_SQL}"
+)
+def effects_by_class(spark, sf_dir):
+    measured = effects.warnings(effects.measure(_statement_effects(spark)))
+    return measured.select("requested", *effects.EFFECTS, "removed_glyphs", "ineffective", F.size("warnings").alias("n_warnings"))
+
+
+_NOTES = _values("doc_id, page, note", [(1, 3, "box replaced"), (1, 1, "box replaced"), (1, 1, "font unreadable"), (1, 3, "box replaced"), (2, 0, "stream lost"), (2, 5, "copy made of an image")])
+
+
+@query(f"SELECT doc_id, note, COUNT(DISTINCT page) AS n_pages, MIN(page) AS first_page, string_agg(DISTINCT CAST(page AS VARCHAR), ',' ORDER BY CAST(page AS VARCHAR)) AS pages FROM {_NOTES} GROUP BY doc_id, note")
+def healed_pages(spark, sf_dir):
+    out = effects.healed_pages(spark.sql(f"SELECT * FROM {_NOTES}"))
+    return out.select("doc_id", "note", F.size("pages").cast("long").alias("n_pages"), "first_page", F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"))
+
+
+@query(f"SELECT doc_id, CAST(COUNT(DISTINCT note) FILTER (WHERE NOT (contains(note, 'encoded anew') OR contains(note, 'copy made') OR contains(note, 'box replaced'))) AS INTEGER) AS gaps FROM {_NOTES} GROUP BY doc_id")
+def coverage_gaps(spark, sf_dir):
+    texts = spark.sql(f"SELECT * FROM {_NOTES}").groupBy("doc_id").agg(F.collect_set("note").alias("notes"))
+    return texts.select("doc_id", F.size(effects.gaps(F.col("notes"))).alias("gaps"))
+
+
+@query("SELECT user_id, COUNT(*) AS islands, CAST(SUM(hi - lo + 1) AS BIGINT) AS covered FROM (SELECT user_id, isl, MIN(lo) AS lo, MAX(hi) AS hi FROM (SELECT *, SUM(fresh) OVER (PARTITION BY user_id ORDER BY lo, hi, event_id) AS isl FROM (SELECT *, CASE WHEN lo > MAX(hi) OVER (PARTITION BY user_id ORDER BY lo, hi, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 1 WHEN row_number() OVER (PARTITION BY user_id ORDER BY lo, hi, event_id) = 1 THEN 1 ELSE 0 END AS fresh FROM (SELECT user_id, event_id, event_id % 997 AS lo, event_id % 997 + event_id % 7 AS hi FROM events))) GROUP BY user_id, isl) GROUP BY user_id")
+def span_islands(spark, sf_dir):
+    """Merging of overlapping and adjacent intervals, over the events' numbers."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.lit(0).alias("page"), F.lit(0).alias("run_seq"), F.col("event_id").alias("seq"), (F.col("event_id") % 997).alias("lo"), (F.col("event_id") % 997 + F.col("event_id") % 7).alias("hi"))
+    return mask.islands(e).groupBy(F.col("doc_id").alias("user_id")).agg(F.count("*").alias("islands"), F.sum(F.col("hi") - F.col("lo") + 1).alias("covered"))
+
+
+# ---------------------------------------------------------------- review and audit
+
+
+def _email_regions(spark, sf_dir):
+    runs = _runs(spark, sf_dir)
+    return runs, conflict.collect(None, None, patterns.find(runs, patterns.select(["email"])))
+
+
+@query(f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY run_seq) - 1 AS INTEGER) AS item, page, hit AS text, 'blackout' AS action, 'email' AS ref, 0.9::DOUBLE AS confidence, sha256((SELECT text FROM documents d WHERE d.doc_id = e.doc_id)) AS sha256 FROM {_EMAIL_HITS} e")
+def review_items(spark, sf_dir):
+    """Regions written as review files and read again."""
+    runs, regions = _email_regions(spark, sf_dir)
+    files = effects.review_files(regions, table(spark, sf_dir, "documents"), page_boxes(runs))
+    return effects.read_reviews(files).select("doc_id", "item", "page", "text", "action", "ref", "confidence", "sha256")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 'unverified' WHEN doc_id % 3 = 0 THEN 'match' ELSE 'mismatch' END AS identity, doc_id % 3 = 0 AS accepted FROM documents")
+def review_identity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    sha = F.when(F.col("doc_id") % 3 == 0, F.sha2("text", 256)).when(F.col("doc_id") % 3 == 1, F.sha2(F.concat("text", F.lit("!")), 256))
+    return effects.identity(docs.select("doc_id", sha.alias("sha256")), docs)
+
+
+@query(f"SELECT doc_id, page, 'auto' AS source, 'pattern: email (confidence 0.90)' AS reason, CASE WHEN 5.0 * (strpos(text, hit) - 1) >= 595 THEN 'off_page' ELSE 'applied' END AS effect, CAST(length(hit) AS BIGINT) AS removed_glyphs FROM {_EMAIL_HITS} JOIN (SELECT doc_id, run_seq, text FROM {RUNS}) USING (doc_id, run_seq)")
+def audit_entries(spark, sf_dir):
+    runs, regions = _email_regions(spark, sf_dir)
+    counted = mask.removed_by_region(regions, mask.hidden_spans(runs, regions))
+    return effects.audit_entries(effects.with_effects(counted, page_boxes(runs))).select("doc_id", "page", "source", "reason", "effect", "removed_glyphs")
+
+
+_STATUS = _values("run, failed, incomplete", [(1, False, False), (1, False, True), (2, True, True), (3, False, False)])
+
+
+@query("SELECT CAST(3 AS INTEGER) AS exit_code")
+def exit_code(spark, sf_dir):
+    return effects.exit_codes(spark.sql(f"SELECT * FROM {_STATUS} WHERE run = 1"))
+
+
+_OUTPUTS = _values("input, output", [("a.pdf", "x.pdf"), ("b.pdf", "x.pdf"), ("c.pdf", "a.pdf"), ("d.pdf", "d2.pdf")])
+
+
+@query(f"SELECT output, COUNT(*) > 1 AS collides, output IN (SELECT input FROM {_OUTPUTS}) AS over_input FROM {_OUTPUTS} GROUP BY output")
+def batch_collisions(spark, sf_dir):
+    return effects.output_collisions(spark.sql(f"SELECT * FROM {_OUTPUTS}")).select("output", "collides", "over_input")
+
+
+# ---------------------------------------------------------------- leaks
+
+
+def _needles(spark, sf_dir):
+    rows = table(spark, sf_dir, "benchmark").orderBy("item_id").limit(leaks.MAX_NEEDLES).collect()  # at most a thousand texts
+    return [" ".join(r.text.split(" ")[:4]) for r in rows]
+
+
+_NEEDLE_SQL = "(SELECT CAST(row_number() OVER (ORDER BY item_id) - 1 AS INTEGER) AS needle_id, array_to_string(string_split(text, ' ')[1:4], ' ') AS needle FROM benchmark)"
+
+
+@query(f"SELECT doc_id AS carrier_id, CAST(7 AS INTEGER) AS view, needle_id, contains(text, needle) AS literal FROM documents, {_NEEDLE_SQL} WHERE contains(text, needle) OR (regexp_matches(needle, '\\s') AND contains(regexp_replace(text, '\\s', '', 'g'), regexp_replace(needle, '\\s', '', 'g')))")
+def leaks_literal(spark, sf_dir):
+    return leaks.search_text(leaks.text_carriers(table(spark, sf_dir, "documents"), "doc_id", {"text": leaks.DECODED}), _needles(spark, sf_dir))
+
+
+_WORDS = ["example", "class ad", "footer>&copy", "the of", "Erin."]
+_WORD_TABLE = _values("k, needle", list(enumerate(_WORDS)))
+
+
+@query(f"SELECT page_id AS carrier_id, view, CAST(k AS INTEGER) AS needle_id, contains(content, needle) AS literal FROM (SELECT page_id, CAST(1 AS INTEGER) AS view, html AS content FROM pages UNION ALL SELECT page_id, CAST(5 AS INTEGER), url FROM pages), {_WORD_TABLE} WHERE contains(content, needle) OR (contains(needle, ' ') AND contains(regexp_replace(content, '\\s', '', 'g'), replace(needle, ' ', '')))")
+def leaks_squeezed(spark, sf_dir):
+    return leaks.search_text(leaks.text_carriers(table(spark, sf_dir, "pages"), "page_id", {"html": leaks.RAW, "url": leaks.NAMES}), _WORDS)
+
+
+@query(f"SELECT needle_id, needle, COUNT(doc_id) AS found, coalesce(bool_or(contains(text, needle)), FALSE) AS literal FROM {_NEEDLE_SQL} LEFT JOIN documents ON contains(text, needle) OR (regexp_matches(needle, '\\s') AND contains(regexp_replace(text, '\\s', '', 'g'), regexp_replace(needle, '\\s', '', 'g'))) GROUP BY needle_id, needle")
+def leaks_summary(spark, sf_dir):
+    needles = _needles(spark, sf_dir)
+    found = leaks.search_text(leaks.text_carriers(table(spark, sf_dir, "documents"), "doc_id", {"text": leaks.DECODED}), needles)
+    return leaks.summary(found, needles).drop("views")
+
+
+_FORMS = [("Müller GmbH", "UTF-8"), ("Müller GmbH", "ISO-8859-1"), ("Müller GmbH", "UTF-16BE"), ("Müller GmbH", "UTF-16LE"), ("nothing", "UTF-8")]
+
+
+@query("SELECT * FROM (VALUES (0, 1, 0, 0), (1, 1, 0, 1), (2, 1, 0, 2), (3, 1, 0, 3), (5, 1, 0, 0), (6, 1, 0, 1)) AS t(carrier_id, view, needle_id, form)")
+def leaks_encoded(spark, sf_dir):
+    """One needle under every byte form, in hex in either case, and one carrier without it."""
+    data = [(k, bytearray(b"xx" + text.encode(code.lower()) + b"yy")) for k, (text, code) in enumerate(_FORMS)]
+    data += [(5, bytearray(b"<" + "Müller GmbH".encode().hex().upper().encode() + b">")), (6, bytearray(b"<" + "Müller GmbH".encode("latin-1").hex().encode() + b">"))]
+    carriers = spark.createDataFrame(data, "carrier_id int, content binary").withColumn("view", F.lit(leaks.RAW))
+    return leaks.search_bytes(carriers, ["Müller GmbH"])
+
+
+@query("SELECT doc_id, needle, CASE WHEN contains(text, needle) THEN 'gone' END AS verdict FROM (SELECT DISTINCT doc_id, text, unnest(regexp_extract_all(text, '([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,})\\b', 1)) AS needle FROM documents)")
+def leaks_after_export(spark, sf_dir):
+    """The texts that a run hid are searched for in what remains."""
+    config = redaction.RunConfig(patterns=patterns.select(["email"]))
+    return redaction.run(table(spark, sf_dir, "documents").select("doc_id", "text"), config).check()
+
+
+# ---------------------------------------------------------------- text functions
+
+
+@query("SELECT c_custkey, lower(c_name) AS norm, regexp_replace(c_name, '\\s', '', 'g') AS squeezed, CASE WHEN length(c_name) > 12 THEN substr(c_name, 1, 11) || '…' ELSE c_name END AS short, lower(hex(encode(c_name))) AS hexed FROM customer")
+def text_functions(spark, sf_dir):
+    c = F.col("c_name")
+    return table(spark, sf_dir, "customer").select("c_custkey", T.normalize(c).alias("norm"), T.squeeze(c).alias("squeezed"), T.shorten(c, 12).alias("short"), F.lower(F.hex(F.encode(c, "UTF-8"))).alias("hexed"))
+
+
+@query("SELECT c_mktsegment, CAST(COUNT(*) AS BIGINT) AS n, CAST(SUM(CASE WHEN c_nationkey % 2 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS removed FROM customer GROUP BY c_mktsegment")
+def meta_whitelist(spark, sf_dir):
+    """Of each customer's properties only the listed keys stay."""
+    props = F.map_from_entries(F.filter(F.array(F.struct(F.lit("name").alias("k"), F.col("c_name").alias("v")), F.when(F.col("c_nationkey") % 2 == 0, F.struct(F.lit("secret").alias("k"), F.col("c_name").alias("v")))), lambda x: x.isNotNull()))
+    kept = lines.keep_listed(table(spark, sf_dir, "customer").select("c_mktsegment", props.alias("props")), "props", ["name", "address"])
+    return kept.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.sum("removed").alias("removed"))
+
+
+@query("WITH RECURSIVE e AS (SELECT CAST(p_partkey AS BIGINT) AS src, unnest([p_partkey * 2, p_partkey * 3]) AS dst FROM part WHERE p_partkey <= 300), r(node) AS (SELECT 1::BIGINT UNION SELECT CAST(e.dst AS BIGINT) FROM r JOIN e ON r.node = e.src) SELECT CAST(0 AS BIGINT) AS doc_id, node FROM r")
+def reachable(spark, sf_dir):
+    p = table(spark, sf_dir, "part").where("p_partkey <= 300").select(F.col("p_partkey").cast("long").alias("k"))
+    edges = p.select(F.lit(0).cast("long").alias("doc_id"), F.col("k").alias("src"), F.explode(F.array(F.col("k") * 2, F.col("k") * 3)).alias("dst"))
+    return lines.reachable(spark.createDataFrame([(0, 1)], "doc_id long, node long"), edges)
+
+
+
+
+@query(f"SELECT doc_id, page, trim(regexp_replace(text, ' +', ' ', 'g')) AS text FROM {_STATEMENT_RUNS}")
+def lines_rebuild(spark, sf_dir):
+    """Lines from single characters: those of the statement, with the blanks left out and found again by their gaps."""
+    runs = _statement(spark)
+    glyphs = runs.select("doc_id", "page", "lly", F.posexplode(F.split("text", "")).alias("i", "ch")).where("ch <> ' '")
+    glyphs = glyphs.select("doc_id", "page", "ch", (F.col("i") * 5.0).alias("x"), F.col("lly").alias("y"), F.lit(5.0).alias("advance"), F.lit(1.0).alias("dx"), F.lit(0.0).alias("dy"), F.lit(5.0).alias("space"))
+    return lines.lines(glyphs).select("doc_id", "page", "text")
