@@ -32,8 +32,40 @@ def squeeze(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)\s", "")
 
 
-#: What keeps positions from staying the same when a text is normalised: runs of blanks, marks, ligatures, long lower forms.
-UNEVEN = r"(?U)\s\s|[\u0300-\u030C\u0327\uFB00-\uFB06\u0130]"
+#: What makes a normalised text differ from the lower-case one: blanks that aren't single, marks, ligatures, long lower forms.
+UNEVEN = r"(?U)\s\s|[^\S ]|[\u0300-\u030C\u0327\uFB00-\uFB06\u0130]"
+
+
+def _map(pairs: dict[str, str]) -> Column:
+    return F.create_map(*(F.lit(x) for pair in pairs.items() for x in pair))
+
+
+def ligature_letters(char: Column) -> Column:
+    """The letters of a ligature; null for any other character."""
+    return F.try_element_at(_map(LIGATURES), char)
+
+
+def composed(base: Column, mark: Column) -> Column:
+    """The lower-case letter that a letter and a combining mark make; null for other pairs."""
+    pairs = {base + mark: one for mark, (bases, ones) in MARKS.items() for base, one in zip(bases, ones, strict=True)}
+    return F.try_element_at(_map(pairs), F.concat(F.lower(base), mark))
+
+
+def pieces(text: Column) -> Column:
+    """What each character of a text becomes when it is normalised; a mark that was composed becomes nothing."""
+    chars = F.split(text, "")
+
+    def piece(c: Column, k: Column) -> Column:
+        before, after = F.when(k > 0, F.get(chars, k - 1)), F.get(chars, k + 1)
+        blank = c.rlike(r"(?U)^\s$")
+        return (
+            F.when(blank & F.coalesce(before.rlike(r"(?U)^\s$"), F.lit(False)), "")
+            .when(blank, " ")
+            .when(composed(before, c).isNotNull(), "")
+            .otherwise(F.coalesce(composed(c, after), ligature_letters(c), F.lower(c)))
+        )
+
+    return F.transform(chars, piece)
 
 
 def expand_ligatures(text: Column) -> Column:
@@ -43,15 +75,6 @@ def expand_ligatures(text: Column) -> Column:
     return F.when(text.rlike(r"[\uFB00-\uFB06]"), out).otherwise(text)
 
 
-def compose(text: Column) -> Column:
-    """Lower-case letters with a combining mark behind them as single characters, for the pairs that are known."""
-    out = text
-    for mark, (bases, composed) in MARKS.items():
-        for base, one in zip(bases, composed, strict=True):
-            out = F.replace(out, F.lit(base + mark), F.lit(one))
-    return F.when(text.rlike(r"[\u0300-\u030C\u0327]"), out).otherwise(text)
-
-
 def fold(text: Column) -> Column:
     """Without white space and invisible characters, ligatures as letters: for comparing two renderings of one text."""
     return expand_ligatures(F.regexp_replace(squeeze(text), INVISIBLE, ""))
@@ -63,8 +86,8 @@ def drop_invisible(text: Column) -> Column:
 
 def normalize(text: Column) -> Column:
     """Lower case, runs of white space as one blank, marks composed, ligatures as letters."""
-    lower = F.replace(F.lower(F.regexp_replace(text, r"(?U)\s+", " ")), F.lit("ς"), F.lit("σ"))
-    return expand_ligatures(compose(lower))
+    plain = F.replace(F.lower(text), F.lit("ς"), F.lit("σ"))
+    return F.when(text.rlike(UNEVEN), F.array_join(pieces(text), "")).otherwise(plain)
 
 
 def needle(text: Column) -> Column:

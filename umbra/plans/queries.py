@@ -14,6 +14,7 @@ from umbra.functions import text as T
 from umbra.functions import validators as V
 from umbra.operators import booking, conflict, effects, leaks, lines, mask, patterns
 from umbra.plans import redaction
+from umbra.plans.storage import cut
 from umbra.sources.runs import SHEET, page_boxes, text_runs
 
 QUERIES: dict = {}
@@ -373,12 +374,12 @@ _COMMON_SQL = _BOOKED.replace(_ENTRY_TABLE, _COMMON_TABLE)
 
 def _common(spark, sf_dir):
     runs = _runs(spark, sf_dir)
-    return runs, conflict.collect(None, booking.find(runs, _COMMON), patterns.find(runs, patterns.select(["email", "credit_card"])))
+    return runs, cut(conflict.collect(None, booking.find(runs, _COMMON), patterns.find(runs, patterns.select(["email", "credit_card"]))))
 
 
 _COMMON_LEFT = f"""(SELECT doc_id, page, run_seq, start, length(needle) AS n, lly FROM {_COMMON_SQL} p WHERE booking_id = 'pos' AND NOT EXISTS (SELECT 1 FROM {_BOOK_NEG_SQL.format(_COMMON_SQL)} q
    WHERE q.doc_id = p.doc_id AND q.run_seq = p.run_seq AND least(q.b, 5.0::DOUBLE * (p.start + length(needle))) - greatest(q.a, 5.0::DOUBLE * p.start) >= 0.5 * 5.0 * length(needle)))"""
-_ALL_LEFT = f"""(SELECT doc_id, page, run_seq, start, n, lly FROM {_COMMON_LEFT} UNION ALL SELECT doc_id, page, run_seq, strpos(text, hit) - 1, length(hit), lly FROM (SELECT r.*, h.hit FROM {RUNS} r JOIN (SELECT doc_id, run_seq, hit FROM {_EMAIL_HITS} UNION ALL SELECT doc_id, run_seq, hit FROM {_CARD_HITS}) h USING (doc_id, run_seq)))"""
+_ALL_LEFT = f"""(SELECT doc_id, page, run_seq, start, n, lly FROM {_COMMON_LEFT} UNION ALL SELECT doc_id, page, run_seq, CAST(list_sum(list_transform(ps[:k], lambda p: length(p))) + (k - 1) * length(hit) AS BIGINT), length(hit), lly FROM (SELECT *, unnest(range(1, len(ps))) AS k FROM (SELECT DISTINCT r.*, h.hit, string_split(r.text, h.hit) AS ps FROM {RUNS} r JOIN (SELECT doc_id, run_seq, hit FROM {_EMAIL_HITS} UNION ALL SELECT doc_id, run_seq, hit FROM {_CARD_HITS}) h USING (doc_id, run_seq))))"""
 
 
 @query(f"SELECT doc_id, COUNT(*) AS n, CAST(SUM(start) AS BIGINT) AS starts FROM {_ALL_LEFT} GROUP BY doc_id")
