@@ -97,7 +97,7 @@ def needle(text: Column) -> Column:
 def safe_text(text: Column) -> Column:
     r"""Control and direction characters as ``\u{..}``."""
     unsafe = r"[\p{Cc}؜​-‏ -‮⁠-⁤⁦-⁯﻿]"
-    code = lambda c: F.concat(F.lit("\\u{"), F.lower(F.regexp_replace(F.hex(F.encode(c, "UTF-32BE")), "^0+(?=.)", "")), F.lit("}"))
+    code = lambda c: F.concat(F.lit("\\u{"), F.lower(F.hex(F.ascii(c))), F.lit("}"))
     escaped = F.array_join(F.transform(F.split(text, ""), lambda c: F.when(c.rlike(unsafe), code(c)).otherwise(c)), "")
     return F.when(text.rlike(unsafe), escaped).otherwise(text)
 
