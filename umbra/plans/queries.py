@@ -608,3 +608,37 @@ def lines_rebuild(spark, sf_dir):
     glyphs = runs.select("doc_id", "page", "lly", F.posexplode(F.split("text", "")).alias("i", "ch")).where("ch <> ' '")
     glyphs = glyphs.select("doc_id", "page", "ch", (F.col("i") * 5.0).alias("x"), F.col("lly").alias("y"), F.lit(5.0).alias("advance"), F.lit(1.0).alias("dx"), F.lit(0.0).alias("dy"), F.lit(5.0).alias("space"))
     return lines.lines(glyphs).select("doc_id", "page", "text")
+
+
+# ---------------------------------------------------------------- PDF files
+
+
+@query("SELECT item_id, CAST(SUM(length(l)) AS BIGINT) AS n_glyphs, md5(string_agg(l, '' ORDER BY k)) AS digest FROM (SELECT item_id, k, ls[k + 1] AS l FROM (SELECT item_id, ls, unnest(range(len(ls))) AS k FROM (SELECT item_id, string_split(text, chr(10)) AS ls FROM benchmark)) WHERE ls[k + 1] <> '') GROUP BY item_id")
+def pdf_round_trip(spark, sf_dir):
+    """Every benchmark text as a PDF file, read again glyph by glyph."""
+    from umbra.sources import pdf
+
+    def made(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            pages = [[(50.0, 780.0 - 14 * k, 10.0, line) for k, line in enumerate((t or "").split("\n")) if line] for t in batch.column("text").to_pylist()]
+            ids = [str(i) for i in batch.column("item_id").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([pdf.build([p]) for p in pages], pa.binary())], ["path", "content"])
+
+    files = table(spark, sf_dir, "benchmark").select("item_id", "text").mapInArrow(made, "path string, content binary")
+    whole = pdf.glyph_rows(files).where("kind = 'glyph'").groupBy("path").agg(F.count("*").alias("n_glyphs"), F.array_sort(F.collect_list(F.struct("seq", "ch"))).alias("xs"))
+    text = F.array_join(F.transform("xs", lambda x: x["ch"]), "")
+    return whole.select(F.col("path").cast("long").alias("item_id"), "n_glyphs", F.md5(text).alias("digest"))
+
+
+@query("SELECT * FROM (VALUES (0, 27, 'IBAN: and more'), (1, 0, 'second page')) AS t(page, removed, text)")
+def pdf_redact(spark, sf_dir):
+    """Detection on a file's lines, removal from its content, and what a second reading finds."""
+    from umbra.sources import pdf
+
+    data = pdf.build([[(50, 700, 10, "IBAN: DE89 3704 0044 0532 0130 00and more")], [(50, 700, 10, "second page")]])
+    out, removed = pdf.redact(data, [(0, 86, 699, 248, 707)])
+    rows = pdf.glyph_rows(spark.createDataFrame([("x", bytearray(out))], "path string, content binary")).where("kind = 'glyph'")
+    texts = rows.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("seq", "ch"))).alias("xs"))
+    return texts.select(F.col("page").cast("int").alias("page"), F.when(F.col("page") == 0, removed[0]).otherwise(0).alias("removed"), F.array_join(F.transform("xs", lambda x: x["ch"]), "").alias("text"))
