@@ -224,7 +224,9 @@ def find(runs: DataFrame, patterns: list[Pattern] | None = None, min_confidence:
     found = [F.transform(hits_of(p, F.col("text")), located(k, p)) for k, p in enumerate(patterns) if p.enabled]
     empty = F.array().cast("array<struct<def_seq:int,pattern_id:string,start:bigint,hit:string,confidence:double>>")
     every = F.flatten(F.filter(F.array(*found), lambda x: x.isNotNull())) if found else empty
-    opened = runs.select("doc_id", "page", "run_seq", "lly", F.inline(F.filter(every, lambda h: h["confidence"] >= min_confidence)))
+    opened = runs.select("doc_id", "page", "run_seq", "lly", F.inline_outer(F.filter(every, lambda h: h["confidence"] >= min_confidence)))
+    # The outer form keeps the optimiser from searching each line a second time, for a filter on the number of hits.
+    opened = opened.where(F.col("pattern_id").isNotNull())
     return opened.select("doc_id", "page", "run_seq", "def_seq", "start", "pattern_id", "confidence", F.col("hit").alias("text"), *span_rect(F.col("start"), F.length("hit"), F.col("lly")))
 
 
