@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from umbra.llm.common import table
 
 #: Entries a worker remembers for each of its two caches and generations, so that its memory is bounded.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 #: A vocabulary file larger than this is refused rather than broadcast.
 MAX_VOCABULARY_BYTES = 64 << 20
 NONE = 1 << 62

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from umbra.llm.common import held_out, sample_of_labels, table
+from umbra.llm.common import held_out, sample_of_labels, slices, table
 from umbra.llm.text_hashes import Remembered, mix, stem_and_word
 
 BITS = 24
@@ -78,7 +78,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", per_class
     """The model learnt from at most ``2 * per_class`` labelled rows outside the held-out fifth."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _WORDS.during(slices(batches)):
             made = [features(x).tobytes() for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(made, pa.binary())], ["doc_id", "label", "at"])
 
@@ -115,7 +115,7 @@ def score(df: DataFrame, model: tuple[float, np.ndarray, np.ndarray], text: str
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value)
-        for batch in batches:
+        for batch in _WORDS.during(slices(batches)):
             made = pa.array([scorer(x) for x in batch.column(text).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in kept), made], [*kept, "score"])
 

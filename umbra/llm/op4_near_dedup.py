@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from umbra.llm.common import cut, table
+from umbra.llm.common import cut, slices, table
 from umbra.llm.graph import components
 from umbra.llm.text_hashes import Remembered, mix
 
@@ -82,7 +82,7 @@ def sketches(df: DataFrame, words: int, text: str = "text") -> DataFrame:
     schema = df.select(kept).schema.add("n_shingles", "long").add("digest", "binary").add("sketch", LONGS)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _HASHES.during(slices(batches)):
             sets = [shingle_set(x, words) for x in batch.column(text).to_pylist()]
             arrays = [
                 pa.array([len(s) for s in sets], pa.int64()),
@@ -101,7 +101,7 @@ def full_sets(documents: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     schema = named.select("id").schema.add("whole", LONGS)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _HASHES.during(slices(batches)):
             sets = [shingle_set(x, words).view(np.int64) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "whole"])
 

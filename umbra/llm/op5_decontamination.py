@@ -96,7 +96,8 @@ def find(documents: DataFrame, items: DataFrame) -> DataFrame:
 
     coded = texts.select("doc_id", tokens(F.col("text"), False).alias("w"))
     hashes = F.transform(_starts(F.size("w"), stride), lambda k: F.xxhash64(F.array_join(F.slice("w", k + 1, F.lit(WINDOW)), " ")))
-    sampled = coded.select("doc_id", F.posexplode(hashes).alias("k", "hash"))
+    # The outer form keeps the optimiser from hashing every text twice, for a filter on the number of windows.
+    sampled = coded.select("doc_id", F.posexplode_outer(hashes).alias("k", "hash")).where("hash is not null")
     wanted = known.select("item_id", "ipos", "length", "n_windows", F.xxhash64("key").alias("hash"))
     hits = sampled.join(held(wanted), "hash").select("doc_id", "item_id", "length", "n_windows", (F.col("k") * stride - F.col("ipos")).alias("offset")).distinct()
     hits = cut(hits)
@@ -108,7 +109,7 @@ def find(documents: DataFrame, items: DataFrame) -> DataFrame:
         "doc_id", "item_id", "n_windows", "offset", F.slice(tokens(F.col("text"), True), begin + 1, F.col("length") + 2 * slack).alias("w")
     )
     windows = F.transform(_starts(F.size("w")), lambda k: F.slice("w", k + 1, F.lit(WINDOW)))
-    opened = region.select("doc_id", "item_id", "n_windows", "offset", F.posexplode(windows).alias("dpos", "filled"))
+    opened = region.select("doc_id", "item_id", "n_windows", "offset", F.posexplode_outer(windows).alias("dpos", "filled")).where("filled is not null")
     opened = opened.withColumn("key", F.array_join(_plain(F.col("filled")), " "))
     met = opened.join(held(known.select("item_id", "ipos", "key", "slots")), ["item_id", "key"])
     pairs = F.filter(F.arrays_zip("slots", "filled"), lambda x: x["slots"].startswith("\u0001"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from umbra.llm.common import held_out, sample_of_labels, table
+from umbra.llm.common import held_out, sample_of_labels, slices, table
 from umbra.llm.text_hashes import Remembered, mix, shape_and_word
 
 BITS = 16
@@ -103,7 +103,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", grades:
     """The model learnt from at most ``grades * per_class`` rows outside the held-out fifth; None without two grades."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _WORDS.during(slices(batches)):
             made = [features(x) for x in batch.column("text").to_pylist()]
             arrays = [pa.array([m[k].tobytes() for m in made], pa.binary()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *arrays], ["doc_id", "label", "at", "x"])
@@ -129,7 +129,7 @@ def grade(df: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, cut: int =
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges, w = shared.value
-        for batch in batches:
+        for batch in _WORDS.during(slices(batches)):
             s = np.empty(batch.num_rows)
             for k, value in enumerate(batch.column(text).to_pylist()):
                 at, x = features(value)

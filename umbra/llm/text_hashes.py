@@ -7,8 +7,8 @@ import zlib
 
 import numpy as np
 
-#: Words a worker remembers before it starts anew.
-REMEMBERED = 400_000
+#: Words a worker remembers before it starts anew, some 200 bytes each.
+REMEMBERED = 150_000
 _EDGES = re.compile(r"^\W+|\W+$")
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -36,6 +36,13 @@ class Remembered(dict):
     def of(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
+    def during(self, batches):
+        """``batches``, after whose end everything is forgotten, as a worker may stay idle beside other stages' tasks."""
+        try:
+            yield from batches
+        finally:
+            self.clear()
+
 
 def crc(text: str) -> int:
     return zlib.crc32(text.encode())
