@@ -642,3 +642,61 @@ def pdf_redact(spark, sf_dir):
     rows = pdf.glyph_rows(spark.createDataFrame([("x", bytearray(out))], "path string, content binary")).where("kind = 'glyph'")
     texts = rows.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("seq", "ch"))).alias("xs"))
     return texts.select(F.col("page").cast("int").alias("page"), F.when(F.col("page") == 0, removed[0]).otherwise(0).alias("removed"), F.array_join(F.transform("xs", lambda x: x["ch"]), "").alias("text"))
+
+
+# ---------------------------------------------------------------- other carriers
+
+_NOTES_RECTS = _values("doc_id, page, annotation, llx, lly, urx, ury", [(1, 0, 1, 0.0, 0.0, 10.0, 10.0), (1, 0, 2, 20.0, 0.0, 30.0, 10.0), (1, 1, 3, 0.0, 0.0, 10.0, 10.0), (2, 0, 4, 10.0, 0.0, 20.0, 10.0), (1, 0, 5, NAN, 0.0, 10.0, 10.0)])
+_ZONES = _values("doc_id, page, llx, lly, urx, ury", [(1, 0, 5.0, 5.0, 20.0, 20.0), (2, 0, 0.0, 0.0, 10.0, 10.0), (1, 0, 0.0, 0.0, 7.0, 7.0)])
+
+
+@query(
+    f"""SELECT annotation, NOT EXISTS (SELECT 1 FROM {_ZONES} z WHERE z.doc_id = a.doc_id AND z.page = a.page AND isfinite(a.llx) AND a.llx < z.urx AND z.llx < a.urx AND a.lly < z.ury AND z.lly < a.ury) AS kept FROM {_NOTES_RECTS} a"""
+)
+def annotations_split(spark, sf_dir):
+    from umbra.operators import carriers
+
+    kept, removed = carriers.split_annotations(spark.sql(f"SELECT * FROM {_NOTES_RECTS}"), spark.sql(f"SELECT * FROM {_ZONES}"))
+    return kept.select("annotation", F.lit(True).alias("kept")).union(removed.select("annotation", F.lit(False).alias("kept")))
+
+
+_MARKED = _values("doc_id, stream, section, first_op, last_op", [(1, "s", 1, 0, 5), (1, "s", 2, 6, 9), (1, "t", 3, 0, 9), (2, "s", 4, 0, 9)])
+_HIDDEN = _values("doc_id, stream, op", [(1, "s", 5), (1, "s", 4), (2, "s", 10), (1, "t", 10)])
+
+
+@query(f"SELECT DISTINCT section FROM {_MARKED} m JOIN {_HIDDEN} h ON m.doc_id = h.doc_id AND m.stream = h.stream AND op BETWEEN first_op AND last_op")
+def mirrors_to_clear(spark, sf_dir):
+    from umbra.operators import carriers
+
+    return carriers.mirrors_to_clear(spark.sql(f"SELECT * FROM {_MARKED}"), spark.sql(f"SELECT * FROM {_HIDDEN}")).select("section")
+
+
+@query("SELECT e.vec_id, list_sum(list_transform(range(len(px)), lambda k: CASE WHEN k % 8 < 5 AND k % 8 + 1 > 2 AND k // 8 < 3 AND k // 8 + 1 > 1 THEN 0 ELSE px[k + 1] END))::BIGINT AS total, len(list_filter(px, lambda s: s BETWEEN 50 - 24 AND 60 + 24))::INTEGER AS hidden FROM (SELECT vec_id, list_transform(embedding, lambda v: CAST(floor(abs(v) * 1000) AS BIGINT) % 256) AS px FROM embeddings) e")
+def image_redact(spark, sf_dir):
+    """Vectors as images of eight pixels a row: a zone is overwritten, and a colour key's reach is counted."""
+    from umbra.operators import carriers
+
+    px = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: F.floor(F.abs(v) * 1000) % 256).alias("px"))
+    zone = G.Rect(F.lit(2), F.lit(1), F.lit(5), F.lit(3))
+    done = F.aggregate(carriers.overwrite_pixels(F.col("px"), F.lit(8), zone, 0), F.lit(0).cast("long"), lambda n, p: n + p)
+    return px.select("vec_id", done.alias("total"), carriers.key_reach(F.col("px"), F.lit(50), F.lit(60)).alias("hidden"))
+
+
+_STREAMS = _values("doc_id, object, digest", [(1, 1, "a"), (1, 2, "b"), (1, 4, "d")])
+_RAW_STREAMS = _values("doc_id, object, digest", [(1, 1, "a"), (1, 2, "c"), (1, 3, "x")])
+
+
+@query(f"SELECT object, CASE WHEN a.digest IS NULL THEN 'not loaded' WHEN b.digest IS NULL THEN 'not in the file' ELSE 'differs' END AS finding FROM {_STREAMS} a FULL JOIN {_RAW_STREAMS} b USING (doc_id, object) WHERE a.digest IS DISTINCT FROM b.digest")
+def misread_streams(spark, sf_dir):
+    from umbra.operators import carriers
+
+    return carriers.misread_streams(spark.sql(f"SELECT * FROM {_STREAMS}"), spark.sql(f"SELECT * FROM {_RAW_STREAMS}")).select("object", "finding")
+
+
+@query("SELECT user_id, CAST(least(COUNT(*), 51) AS INTEGER) AS shown, CASE WHEN COUNT(*) > 50 THEN 'and ' || (COUNT(*) - 50) || ' more' END AS last FROM events GROUP BY user_id")
+def capped_notes(spark, sf_dir):
+    from umbra.operators import carriers
+
+    notes = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("text"))
+    out = carriers.capped_list(notes)
+    return out.select(F.col("doc_id").alias("user_id"), F.size("notes").alias("shown"), F.when(F.size("notes") > 50, F.element_at("notes", -1)).alias("last"))
