@@ -167,3 +167,12 @@ def extract(df: DataFrame, page: str = "html") -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+#: The same for pages like those of the test tables: one article element without furniture in it, and the references
+#: that stand there. A tag that breaks the line becomes a blank.
+ORACLE = r"""
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM (
+  SELECT page_id, url, trim(regexp_replace(replace(replace(replace(body, '&quot;', '"'), '&amp;', '&'), '&amp', '&'), '\s+', ' ', 'g')) AS text FROM (
+    SELECT page_id, url, regexp_replace(regexp_replace(coalesce(regexp_extract(html, '(?s)<article>(.*?)(</article>|$)', 1), ''), '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS body FROM pages))
+"""

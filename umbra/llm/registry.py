@@ -16,4 +16,7 @@ QUERIES = {
     "op9_sharding": op9_sharding.query,
     "op10_html_text": op10_html_text.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_near_dedup": op4_near_dedup.ORACLE,
+    "op10_html_text": op10_html_text.ORACLE,
+}
