@@ -61,6 +61,17 @@ def test_against_all_windows(spark):
     assert len(want) > 40 and set(got) == want
 
 
+def test_items_full_of_numbers_at_every_offset(spark):
+    # Windows with fewer than two words don't count and part the others into short runs.
+    items = [(1, "A train covers 90 km in 2 hours while another car runs for much longer time"), (2, "add 3 4 5 6 to both sums then 7 8 9 10 11 give the two totals again")]
+    docs = [(100 * i + at, "pad " * at + text + " end" * 20) for i, text in items for at in range(40)]
+    # Each window of the item by itself, so no two of them stand side by side.
+    words = "one two three four five six seven eight nine ten eleven twelve".split()
+    items.append((3, " ".join(words)))
+    docs += [(300 + at, "pad " * at + " ".join(" ".join(words[k : k + 6]) for k in (0, 2, 4, 6)) + " end" * 20) for at in range(20)]
+    assert {x[0] for x in docs} == {d for d, i in found(spark, docs, items) if d // 100 == i}
+
+
 def test_clean_and_empty(spark):
     docs = spark.createDataFrame([(1, ITEMS[1][1], "a"), (2, "fine text", "b"), (None, "x", "c"), (2, "fine text", "b")], "doc_id long, text string, lang string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")

@@ -6,9 +6,9 @@ one token; case and punctuation go. A window is ``WINDOW`` tokens. A document co
 the document repeats the value that mostly stands for it; windows that break this don't count. So a question whose
 numbers and names were exchanged is still found.
 
-Candidates come from a hash join of windows. Of a document only every ``stride``-th window takes part: the benchmark's
-item lengths tell how long a run of whole windows at least remains in any match, and the stride is chosen so that every
-such run holds one. The rest is done by exact joins on the windows' text, for the regions that the hits point to.
+Candidates come from a hash join of all windows of both sides, so no match is missed wherever it stands and however its
+windows are parted. A document that holds too few of an item's windows anywhere can't hold them in one region and goes
+no further. The rest is done by exact joins on the windows' text, for the regions that the hits point to.
 
 Defined cases: null and empty texts have no windows and match nothing; a text of fewer than ``WINDOW`` tokens is one
 window, so short items are found only as whole documents; windows without two ordinary words are left out; texts of any
@@ -18,14 +18,12 @@ rows. Clashing extra columns of either table play no part.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from umbra.llm.common import cut, table
 
-WINDOW, CONTAINMENT, MAX_STRIDE = 5, 0.8, 16
+WINDOW, CONTAINMENT = 5, 0.8
 #: A benchmark of at most this many windows is broadcast (some 100 bytes each); a larger one is joined by a shuffle.
 MAX_BROADCAST_WINDOWS = 200_000
 #: The same for hits (32 bytes each).
@@ -47,9 +45,9 @@ def tokens(text: Column, values: bool) -> Column:
     return F.when(out == "", F.array().cast("array<string>")).otherwise(F.split(out, " +"))
 
 
-def _starts(n: Column, step: int = 1) -> Column:
+def _starts(n: Column) -> Column:
     """The positions at which windows of ``n`` tokens start; one for a text shorter than a window."""
-    return F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - WINDOW, F.lit(0)), F.lit(step)))
+    return F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - WINDOW, F.lit(0))))
 
 
 def _plain(words: Column) -> Column:
@@ -62,6 +60,15 @@ def _key(words: Column) -> Column:
     return F.when(F.size(F.filter(words, lambda w: ~w.startswith("\u0001"))) >= 2, joined)
 
 
+def _hash(hashes: Column | str, start: Column | int = 0) -> Column:
+    """A window's hash, from the hashes of its words; those behind the end of a short text are null and play no part."""
+    return F.xxhash64(*(F.get(hashes, start + F.lit(k)) for k in range(WINDOW)))
+
+
+def _hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
 def item_windows(items: DataFrame) -> DataFrame:
     """(item_id, ipos, key, slots, length, n_windows) of all windows of the benchmark."""
     coded = items.where(F.col("item_id").isNotNull()).select("item_id", tokens(F.col("text"), True).alias("w")).dropDuplicates(["item_id"])
@@ -72,35 +79,21 @@ def item_windows(items: DataFrame) -> DataFrame:
     return every.drop("w").join(counts, "item_id")
 
 
-def stride_for(lengths: dict[int, int]) -> int:
-    """The largest stride with which no match can be missed. ``lengths``: tokens of the items -> windows that count.
-
-    Of n windows b may be lost; a change inside the text costs at least WINDOW - 1 of them.
-    """
-    runs = []
-    for length, windows in lengths.items():
-        lost = math.floor((1 - CONTAINMENT) * windows + 1e-9) + max(0, length - WINDOW + 1 - windows)
-        cuts = lost // (WINDOW - 1)
-        runs.append(math.ceil((length - lost - cuts) / (cuts + 1)))
-    return max(1, min([MAX_STRIDE, *(run - WINDOW + 1 for run in runs)]))
-
-
 def find(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, matched, n_windows, containment, changed_slots): the items that documents contain."""
     known = cut(item_windows(items.select("item_id", "text")))
     texts = documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    lengths = {r.length: r.least for r in known.groupBy("length").agg(F.min("n_windows").alias("least")).collect()}  # one row a length
-    stride = stride_for(lengths)
     small = known.count() <= MAX_BROADCAST_WINDOWS
     held = lambda df: F.broadcast(df) if small else df
 
-    coded = texts.select("doc_id", tokens(F.col("text"), False).alias("w"))
-    hashes = F.transform(_starts(F.size("w"), stride), lambda k: F.xxhash64(F.array_join(F.slice("w", k + 1, F.lit(WINDOW)), " ")))
+    coded = texts.select("doc_id", _hashes(tokens(F.col("text"), False)).alias("w"))
     # The outer form keeps the optimiser from hashing every text twice, for a filter on the number of windows.
-    sampled = coded.select("doc_id", F.posexplode_outer(hashes).alias("k", "hash")).where("hash is not null")
-    wanted = known.select("item_id", "ipos", "length", "n_windows", F.xxhash64("key").alias("hash"))
-    hits = sampled.join(held(wanted), "hash").select("doc_id", "item_id", "length", "n_windows", (F.col("k") * stride - F.col("ipos")).alias("offset")).distinct()
-    hits = cut(hits)
+    every = coded.select("doc_id", F.posexplode_outer(F.transform(_starts(F.size("w")), lambda k: _hash("w", k))).alias("k", "hash")).where("hash is not null")
+    wanted = known.select("item_id", "ipos", "length", "n_windows", _hash(_hashes(_plain(F.col("slots")))).alias("hash"))
+    met = every.join(held(wanted), "hash").select("doc_id", "item_id", "length", "n_windows", "ipos", (F.col("k") - F.col("ipos")).alias("offset"))
+    met = cut(met.distinct())
+    enough = met.groupBy("doc_id", "item_id", "n_windows").agg(F.count_distinct("ipos").alias("n")).where(F.col("n") >= CONTAINMENT * F.col("n_windows") - 1e-9)
+    hits = cut(met.join(enough.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi").drop("ipos").distinct())
     few = hits.count() <= MAX_BROADCAST_HITS
 
     slack = (F.col("length") / 2).cast("int") + 1
