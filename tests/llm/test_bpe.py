@@ -31,6 +31,17 @@ def test_long_pieces_and_spaces():
         assert ids(text) == LIBRARY.encode_ordinary(text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("ab1. \u00a0\u2003\n\t\r\x1c\x85"), max_size=40))
+def test_white_space_of_any_kind_beside_spaces(text):
+    assert ids(text) == LIBRARY.encode_ordinary(text)
+
+
+def test_no_break_spaces_beside_spaces():
+    for text in ("word \u00a0 \u00a0 word", "x \u00a0 \u00a0\ny", "a\u00a0 b \u00a0c", " \u00a0", "\n \n"):
+        assert ids(text) == LIBRARY.encode_ordinary(text)
+
+
 def test_table(spark):
     rows = [(1, "hello world"), (2, None), (3, ""), (4, "hello world"), (None, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'clash' AS decoded")

@@ -13,6 +13,7 @@ repeated results; an empty table gives an empty result with the same columns. Co
 from __future__ import annotations
 
 import base64
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -117,6 +118,8 @@ class Codec:
         self.pieces = _Memory(lambda piece: array("I", merge(piece.encode(), self.ranks)).tobytes())
         self.runs = _Memory(self._run)
         # Between two characters that are not white space, a single space always opens a new match of these patterns.
+        self.beside = re.compile(r" (?:\s|(?<=\s ))").search
+        self.between = regex.compile(r"(?<=\S) (?=\S)").split
         self.spaced = all(x in pattern for x in (r" ?\p{L}+", r" ?\p{N}+", r" ?[^\s\p{L}\p{N}]+", r"\s+(?!\S)"))
 
     def _run(self, text: str) -> bytes:
@@ -127,10 +130,9 @@ class Codec:
         if not text:
             return b""
         if self.spaced:
-            words = text.split(" ")
-            if "" not in words:
-                runs = self.runs
-                return self._run(words[0]) + b"".join([runs[" " + x] for x in words[1:]])
+            words = self.between(text) if self.beside(text) else text.split(" ")
+            runs = self.runs
+            return self._run(words[0]) + b"".join([runs[" " + x] for x in words[1:]])
         return self._run(text)
 
     def decode(self, ids: bytes) -> bytes:
