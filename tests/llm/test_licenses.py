@@ -49,6 +49,22 @@ def test_join_finds_every_block_at_the_threshold():
     assert hits > 1000
 
 
+def test_line_breaks_do_not_matter():
+    frequency = {w: k % 7 for k, w in enumerate(sorted(frozenset().union(*INDEX.sets)))}
+    for index in (INDEX, op.Templates(op.TEMPLATES, frequency)):
+        for label, text in op.TEMPLATES:
+            whole = op.scan_text(f"some words before. {text} and after", index)
+            for broken in ("\n".join(text.split()), "\n\n".join(text.split()), "\n# ".join(re.findall(r"\S+ ?\S*", text))):
+                got = op.scan_text(f"some words before.\n{broken}\nand after", index)
+                assert label in got[5].split(",") and got[6] == whole[6] == 1, (broken, got)
+    mit = "Permission is hereby granted,\nfree of charge, to any person\nobtaining a copy of this\nsoftware and associated\ndocumentation files"
+    assert op.scan_text(mit, INDEX)[5:] == ("mit", 1.0)
+    # Each word alone: a better template explains the runs of another one, but not those of a notice beside it.
+    alone = lambda *k: "\n".join(" ".join(op.TEMPLATES[x][1] for x in k).split())
+    assert op.scan_text(alone(3), INDEX)[5] == "gpl" and op.scan_text(alone(9, 10), INDEX)[5] == "cc-by,cc-by-sa"
+    assert op.scan_text("one\n" * 500 + "two", INDEX)[5:] == ("", 0.0)
+
+
 def test_scan(spark):
     rows = [
         (1, "text\nThis work is licensed under the GNU General Public License, version 3.\nmore"),

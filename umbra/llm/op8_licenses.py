@@ -4,8 +4,10 @@ A template's tokens are ordered by their frequency over all documents, rarest fi
 ``THRESHOLD`` of a template only if it holds one of the template's first |T| - ceil(share * |T|) + 1 tokens, so only
 these are indexed (prefix filter). A block with fewer tokens than ceil(share * |T|) is passed over (length filter), as
 is one whose rarest common token stands so far back that too few tokens are left (positional filter). What remains is
-counted exactly. Blocks are all lines and all runs of ``SPAN`` lines. A match whose common tokens all belong to another
-template that matches the same block better, or as well and is larger, is explained by that one and dropped.
+counted exactly. Blocks are all lines and all runs of ``SPAN`` lines, and, wherever the lines break, all runs of as many
+words as a template has, divided by ``THRESHOLD``. A match whose common tokens all belong to another template that
+matches the same block better, or as well and is larger, is explained by that one and dropped; so is a match in a run of
+words whose common words stand in such a better one's run.
 
 Besides, the places of three fixed phrases are counted exactly; their labels always stay.
 
@@ -66,6 +68,7 @@ class Templates:
             for k, token in enumerate(sorted(s, key=lambda x: (frequency.get(x, 0), x))[: len(s) - self.least[t] + 1]):
                 self.index[token].append((t, k))
         self.seeds = frozenset(self.index)
+        self.spans = [ceil(len(text.encode().translate(_WORD).split()) / THRESHOLD - 1e-9) for _, text in templates]
 
     def matches(self, block: frozenset[bytes]) -> list[tuple[int, float]]:
         """(template, containment) of all that meet the threshold, without those whose evidence a better one explains."""
@@ -85,6 +88,50 @@ class Templates:
         return [(t, c) for t, c, common in found if not explained(t, c, common)]
 
 
+    def runs(self, words: list[bytes]) -> list[tuple[int, float]]:
+        """What ``matches`` gives for blocks, for all runs of words of the templates' lengths."""
+        around: dict[int, list[list[int]]] = defaultdict(list)
+        for p in [p for p, word in enumerate(words) if word in self.seeds]:
+            for t, _ in self.index[words[p]]:
+                begin, some = max(0, p - self.spans[t] + 1), around[t]
+                if some and begin <= some[-1][1]:
+                    some[-1][1] = p + 1
+                else:
+                    some.append([begin, p + 1])
+        met: dict[int, dict[int, frozenset[bytes]]] = {}
+        for t, stretches in around.items():
+            own, span, starts = self.sets[t], self.spans[t], {}
+            for begin, end in stretches:
+                if len(own.intersection(words[begin : end + span])) >= self.least[t]:
+                    for k in range(begin, end):
+                        common = own.intersection(words[k : k + span])
+                        if len(common) >= self.least[t]:
+                            starts[k] = common
+            if starts:
+                met[t] = starts
+        best: dict[int, float] = {}
+        for t, starts in met.items():
+            own, size, span = self.sets[t], len(self.sets[t]), self.spans[t]
+            rivals = [u for u in met if u != t and len(own & self.sets[u]) >= self.least[t]]
+            for k, common in starts.items():
+                c = len(common) / size
+                if c <= best.get(t, 0):
+                    continue
+                # The shortest beginning of the run that has all common words, and of that the shortest end.
+                end = max(words.index(x, k) for x in common)
+                part = words[k : end + 1][::-1]
+                begin = end - max(part.index(x) for x in common)
+                explained = any(
+                    common <= self.sets[u] and (d > c or d == c and own < self.sets[u])
+                    for u in rivals
+                    for b in range(end - self.spans[u] + 1, begin + 1)
+                    if (d := len(met[u].get(b, ())) / len(self.sets[u]))
+                )
+                if not explained:
+                    best[t] = c
+        return list(best.items())
+
+
 def places(words: list[bytes], phrase: str) -> list[int]:
     """The word positions, from 0, where the phrase's words stand one after the other."""
     whole, wanted = b" " + b" ".join(words) + b" ", b" " + phrase.encode() + b" "
@@ -113,6 +160,9 @@ def scan_text(text: str | None, templates: Templates) -> tuple:
                 for t, containment in templates.matches(block):
                     labels.add(templates.labels[t])
                     score = max(score, containment)
+        for t, containment in templates.runs(words):
+            labels.add(templates.labels[t])
+            score = max(score, containment)
     return len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score
 
 
