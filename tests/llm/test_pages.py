@@ -21,6 +21,16 @@ def test_without_an_article_element():
     assert "Sentence 0" in out and "Sentence 4" in out and "cookies" not in out
 
 
+def test_short_pieces_beside_inner_furniture_stay():
+    text = lambda mark, n: (mark + " ") * (n // 2)
+    menu = "<div><div><a href=/1>Home page</a></div><div><a href=/2>All news</a></div></div>"
+    parts = [text(m, n) for m, n in zip("abcdef", (40, 600, 700, 650, 180, 20), strict=True)]
+    links = "<div><a href=/3>first source</a></div>"
+    page = f"<body>{menu}<div class=ad>x</div>" + "<div class=ad>Buy</div>".join(f"<div>{p}</div>" for p in parts[:4]) + f"<form>q</form>{links}<aside>s</aside><div>{parts[4]}</div><div class=promo>x</div><div>{parts[5]}</div><div class=ad>x</div>{menu}"
+    assert op.main_text(page) == " ".join(p.strip() for p in [*parts[:4], "first source", *parts[4:]])
+    assert op.main_text(links) == "first source"
+
+
 def test_broken_and_empty_pages():
     assert op.main_text(None) == op.main_text("") == ""
     assert op.main_text("only text") == "only text"

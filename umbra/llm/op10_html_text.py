@@ -4,7 +4,8 @@ Markup is stripped to lines: every block element begins and ends one, inline mar
 forms and the like, and page furniture (by element, role or class), turn into a gap of empty lines as wide as the
 sliding window. The text lengths summed over the window surge where the article begins and dive to nothing where it
 ends; the lines between a surge and its dive are the text. If the page marks an article or main element, the lines
-outside are empty ones; else a stretch counts if its peak is a fair part of the highest peak and links don't fill it.
+outside are empty ones; else all stretches count, however short, from the first that links don't fill to the last such
+one (from the first to the last of all, if links fill each). Only what links fill before and after these is dropped.
 
 Defined cases: a null or empty page gives an empty text and 0 characters; pages of any length are read whole; elements
 that are never closed end where the next piece of the page's structure begins; repeated rows repeat; an empty table
@@ -23,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from umbra.llm.common import table
 
 WINDOW = 3
-#: Without an article element: the share of the highest peak that a stretch needs, and the share of links it may have.
-PEAK, LINKS = 0.2, 0.5
+#: Without an article element: the share of links that the first and the last stretch of the text may have.
+LINKS = 0.5
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?:script|style)\b[^>]*>.*?(?:</(?:script|style)\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
@@ -137,16 +138,13 @@ def main_text(page: str | None) -> str:
         if total and begin is None:  # a surge
             begin = k
         elif not total and begin is not None:  # a dive; the window's last lines were empty
-            stretches.append((begin, k, max(sums[begin:k])))
+            stretches.append([lines[x] for x in range(begin, min(k, len(lines))) if sizes[x]])
             begin = None
-    highest = max((peak for *_, peak in stretches), default=0)
-    out = []
-    for begin, end, peak in stretches:
-        block = [lines[k] for k in range(begin, min(end, len(lines))) if sizes[k]]
-        links = sum(n for _, n, _ in block) / sum(len(text) for text, *_ in block)
-        if marked or (peak >= PEAK * highest and links <= LINKS):
-            out += [text for text, *_ in block]
-    return " ".join(out)
+    if not marked:
+        texts = [k for k, block in enumerate(stretches) if sum(n for _, n, _ in block) <= LINKS * sum(len(text) for text, *_ in block)]
+        if texts:
+            stretches = stretches[texts[0] : texts[-1] + 1]
+    return " ".join(text for block in stretches for text, *_ in block)
 
 
 def extract(df: DataFrame, page: str = "html") -> DataFrame:
