@@ -528,16 +528,26 @@ def batch_collisions(spark, sf_dir):
 
 
 def _needles(spark, sf_dir):
-    rows = table(spark, sf_dir, "benchmark").orderBy("item_id").limit(leaks.MAX_NEEDLES).collect()  # at most a thousand texts
+    rows = table(spark, sf_dir, "benchmark").orderBy("item_id").collect()  # four words an item are kept
     return [" ".join(r.text.split(" ")[:4]) for r in rows]
 
 
+def _leaks_of(spark, sf_dir, needles):
+    """Findings of all needles in the documents, searched for in blocks of as many as one search takes."""
+    carriers = leaks.text_carriers(table(spark, sf_dir, "documents"), "doc_id", {"text": leaks.DECODED})
+    found = None
+    for at in range(0, max(len(needles), 1), leaks.MAX_NEEDLES):
+        some = leaks.search_text(carriers, needles[at : at + leaks.MAX_NEEDLES]).withColumn("needle_id", F.col("needle_id") + F.lit(at))
+        found = found.union(some) if found else some
+    return found
+
+
 _NEEDLE_SQL = "(SELECT CAST(row_number() OVER (ORDER BY item_id) - 1 AS INTEGER) AS needle_id, array_to_string(string_split(text, ' ')[1:4], ' ') AS needle FROM benchmark)"
 
 
 @query(f"SELECT doc_id AS carrier_id, CAST(7 AS INTEGER) AS view, needle_id, contains(text, needle) AS literal FROM documents, {_NEEDLE_SQL} WHERE contains(text, needle) OR (regexp_matches(needle, '\\s') AND contains(regexp_replace(text, '\\s', '', 'g'), regexp_replace(needle, '\\s', '', 'g')))")
 def leaks_literal(spark, sf_dir):
-    return leaks.search_text(leaks.text_carriers(table(spark, sf_dir, "documents"), "doc_id", {"text": leaks.DECODED}), _needles(spark, sf_dir))
+    return _leaks_of(spark, sf_dir, _needles(spark, sf_dir))
 
 
 _WORDS = ["example", "class ad", "footer>&copy", "the of", "Erin."]
@@ -552,8 +562,7 @@ def leaks_squeezed(spark, sf_dir):
 @query(f"SELECT needle_id, needle, COUNT(doc_id) AS found, coalesce(bool_or(contains(text, needle)), FALSE) AS literal FROM {_NEEDLE_SQL} LEFT JOIN documents ON contains(text, needle) OR (regexp_matches(needle, '\\s') AND contains(regexp_replace(text, '\\s', '', 'g'), regexp_replace(needle, '\\s', '', 'g'))) GROUP BY needle_id, needle")
 def leaks_summary(spark, sf_dir):
     needles = _needles(spark, sf_dir)
-    found = leaks.search_text(leaks.text_carriers(table(spark, sf_dir, "documents"), "doc_id", {"text": leaks.DECODED}), needles)
-    return leaks.summary(found, needles).drop("views")
+    return leaks.summary(_leaks_of(spark, sf_dir, needles), needles).drop("views")
 
 
 _FORMS = [("Müller GmbH", "UTF-8"), ("Müller GmbH", "ISO-8859-1"), ("Müller GmbH", "UTF-16BE"), ("Müller GmbH", "UTF-16LE"), ("nothing", "UTF-8")]
