@@ -42,6 +42,36 @@ def test_no_break_spaces_beside_spaces():
         assert ids(text) == LIBRARY.encode_ordinary(text)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.binary(min_size=2, max_size=40), min_size=1, max_size=30))
+def test_merging_in_step_equals_merging_one_by_one(pieces):
+    got = op.merge_many(pieces, CODEC.pairs)
+    assert [list(memoryview(x).cast("I")) for x in got] == [op.merge(p, RANKS, whole=False) for p in pieces]
+
+
+def test_many_texts_at_once():
+    import random
+
+    rng = random.Random(5)
+    parts = ["the", "Straße", "undeniably", "x\u00e9x\u00e9x\u00e9", "don't", "1234567", "...", "\n", "a" * 90, "\U0001f600\U0001f600"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " ", " ", "  "]) for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    for _ in range(2):
+        got = [list(memoryview(x).cast("I")) for x in CODEC.encode_all(texts)]
+        assert got == [LIBRARY.encode_ordinary(x) for x in texts]
+
+
+def test_unknown_and_cut_off_ids():
+    assert CODEC.decode(b"\xff\xff\xff\xff") is None and CODEC.decode(b"\x01\x00") is None and CODEC.decode(b"") == b""
+
+
+def test_memory_forgets_but_stays_right(monkeypatch):
+    monkeypatch.setattr(op, "REMEMBERED", 5)
+    codec = op.Codec(DATA, PATTERN)
+    for k in range(30):
+        text = " ".join(f"word{j} forth{k}" for j in range(k))
+        assert list(memoryview(codec.encode(text)).cast("I")) == LIBRARY.encode_ordinary(text)
+
+
 def test_table(spark):
     rows = [(1, "hello world"), (2, None), (3, ""), (4, "hello world"), (None, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'clash' AS decoded")
