@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 from umbra.llm import op1_url_trust as trust
 from umbra.llm import op10_html_text as op
@@ -31,6 +33,74 @@ def test_short_pieces_beside_inner_furniture_stay():
     assert op.main_text(links) == "first source"
 
 
+TEXT = "<h1>Title</h1>" + "".join(f"<p>Paragraph {k} with enough words in it to make the sums of the window surge.</p>" for k in range(4))
+PLAIN = " ".join(re.sub("<[^>]*>", " ", TEXT).split())
+
+
+def test_words_on_wrappers_do_not_drop_the_page():
+    wrappers = ['<body class="single comments-open">{}</body>', '<div class="page with-sidebar">{}</div>', "<form id=aspnetForm>{}</form>", '<div id="share" role=main>{}</div>', "{}"]
+    articles = ["<article>{}</article>", '<article data-comment-count="3" class="post social">{}</article>', '<main class="no-sidebar">{}</main>', '<article><div class="share-content">{}</div></article>', "{}"]
+    around = '<nav>Menu</nav><div class="sidebar">Side</div>{}<div id="comments"><p>Reader says much.</p></div><footer>Foot</footer>'
+    for w in wrappers:
+        for a in articles:
+            assert op.main_text(around.format(w.format(a.format(TEXT)))) == PLAIN, (w, a)
+            assert op.main_text(w.format(around.format(a.format(TEXT)))) == PLAIN, (w, a)
+
+
+def test_readers_comments_go_however_long_they_are():
+    says = "<p>" + "What a reader says of it. " * 100 + "</p>"
+    for page in (f"<article>{TEXT}</article><section id=comments>{says * 3}</section>", f"<div>{TEXT}</div><div class=comments>{says}</div>", f"<article>{TEXT}<div class='comment'>{says}</div></article>", f"<article>{TEXT}</article><article class=comment>{says}</article>"):
+        assert op.main_text(page) == PLAIN
+
+
+def test_menus_and_scattered_lines_without_names():
+    menu = "".join(f"<div><a href=/{k}>Entry number {k}</a></div>" for k in range(6))
+    page = f"<div>{menu}</div><div>{TEXT}</div><p><a href=/x>a link amid</a></p>{TEXT}<div>{menu}</div><div>Company, 2024</div>"
+    assert op.main_text(page) == f"{PLAIN} a link amid {PLAIN}"
+    # An article's element says where the text is, so there no stretch is too short; but its menu goes.
+    assert op.main_text(f"<article>{TEXT}{menu}<p>End.</p></article><p>{'Not in it. ' * 30}</p>") == f"{PLAIN} End."
+    assert op.main_text(f"<article>{menu}</article>") == " ".join(f"Entry number {k}" for k in range(6))
+
+
+def plain_stretches(weights, surge):
+    sums = lambda k: sum(weights[k : k + op.WINDOW])
+    some, k = [], 0
+    while k < len(weights):
+        if not sums(k):
+            k += 1
+            continue
+        end = k
+        while end < len(weights) and sums(end):
+            end += 1
+        some.append((range(k, end), max(map(sums, range(k, end)))))
+        k = end
+    high = [x for x in some if x[1] >= surge] or some
+    return [(min(x for x in r if weights[x]), r[-1] + 1) for r, _ in high]
+
+
+def test_surge_and_dive_against_a_plain_version():
+    rng = random.Random(2)
+    for _ in range(3000):
+        weights = [rng.choice([0, 0, 0, rng.randint(1, 60)]) for _ in range(rng.randint(0, 25))]
+        for surge in (0, op.SURGE, 1000):
+            assert op.stretches(weights, surge) == plain_stretches(weights, surge), weights
+
+
+def test_time_grows_with_the_length():
+    for piece in ("<nav>", '<a "x', '<a x="', "<div class=ad>", "<p class=ad>x", "<!-", "</p>", "<span class=ad>x", "<script", "<form>", "<aside>x", "<a href=x>", "&amp", "<", "<p>word "):
+        begin = time.process_time()
+        op.main_text(piece * (1_000_000 // len(piece)))
+        assert time.process_time() - begin < 6, piece
+    assert op.main_text("<p>word " * 100_000).count("word") == 100_000
+
+
+def test_tags():
+    assert op.main_text('<p title="a > b" class=x>one</p><p title=it\'s>two <br/>three a<b>b</b>c 1 < 2') == "one two three abc 1 < 2"
+    assert op.main_text("<style>p>a{}</style><textarea><p>no</p></textarea><title>t</title><p>yes<SCRIPT>x</script >!") == "yes!"
+    assert op.main_text("a<!-- <p>b</p> -->c<!doctype x><?php y ?>d") == "acd"
+    assert op.main_text('<p data-id="sidebar" class="text">' + "kept " * 30 + "</p><p class=promo>gone<p>kept") == ("kept " * 31).strip()
+
+
 def test_broken_and_empty_pages():
     assert op.main_text(None) == op.main_text("") == ""
     assert op.main_text("only text") == "only text"
@@ -112,7 +182,7 @@ def test_links_and_parents(spark):
     html = '<a href="http://B.net/x">1</a><img src=//cdn.b.net/i><a href="/local">2</a><a href="https://a.b.com/">self</a>'
     pages = spark.createDataFrame([("a.b.com", html)], "host string, html string")
     assert {(r.src, r.dst, r.n) for r in trust.host_edges(pages).collect()} == {("a.b.com", "b.net", 1.0), ("a.b.com", "cdn.b.net", 1.0)}
-    hosts = spark.createDataFrame([("x.a.b.com",), ("com",)], "host string")
+    hosts = spark.createDataFrame([("x.a.b.com",), ("com",), ("one.co.uk",), ("two.co.uk",)], "host string")
     assert {(r.src, r.dst) for r in trust.parent_edges(hosts).collect()} == {("x.a.b.com", "a.b.com"), ("a.b.com", "x.a.b.com"), ("a.b.com", "b.com"), ("b.com", "a.b.com")}
 
 
@@ -120,4 +190,5 @@ def test_spam_hosts_are_blocked_and_trusted_ones_are_not(spark):
     link = lambda h: f'<a href="http://{h}/">x</a>'
     rows = [(1, "http://bad.com/en/", ""), (2, "http://farm.io/", link("bad.com") * 9), (3, "http://good.net/de/", link("friend.io")), (4, "http://friend.io/", "")]
     out = {r.page_id: r for r in trust.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), url="url").collect()}
+    assert out[2].verdict == "block" and out[1].verdict == "block" and out[3].verdict == "allow"
     assert out[2].distrust > out[2].trust and out[4].trust > out[4].distrust and out[4].verdict == "allow"
