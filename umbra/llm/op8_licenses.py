@@ -1,13 +1,13 @@
 """License scans by an exact set-similarity join of text blocks and license templates.
 
-A template's tokens are ordered by their frequency over all documents, rarest first. A block can hold the share
-``THRESHOLD`` of a template only if it holds one of the template's first |T| - ceil(share * |T|) + 1 tokens, so only
-these are indexed (prefix filter). A block with fewer tokens than ceil(share * |T|) is passed over (length filter), as
-is one whose rarest common token stands so far back that too few tokens are left (positional filter). What remains is
-counted exactly. Blocks are all lines and all runs of ``SPAN`` lines, and, wherever the lines break, all runs of as many
-words as a template has, divided by ``THRESHOLD``. A match whose common tokens all belong to another template that
-matches the same block better, or as well and is larger, is explained by that one and dropped; so is a match in a run of
-words whose common words stand in such a better one's run.
+A block is any run of words, wherever the lines break, that is no longer than the template's words divided by
+``THRESHOLD``; it matches if it holds the share ``THRESHOLD`` of the template's different tokens. Tokens are ordered by
+their frequency over all documents, rarest first. A text can hold a match only if it has one of the template's first
+|T| - ceil(share * |T|) + 1 tokens, so only these are indexed (prefix filter). A text with fewer different words than
+ceil(share * |T|) is passed over (length filter), as is one whose rarest common token stands so far back that too few
+are left (positional filter). What remains is counted exactly, by two pointers over the template's tokens in the text.
+``matches`` lists the blocks of every template, one for those that lie in each other; for ``labels`` a block doesn't
+count that lies in a block which holds more of another template, or as much of a larger one.
 
 Besides, the places of three fixed phrases are counted exactly; their labels always stay.
 
@@ -20,40 +20,37 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from math import ceil
+from dataclasses import dataclass
+from math import ceil, floor
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from umbra.llm.common import table
+from umbra.llm.common import slices, table
+from umbra.llm.license_texts import TEMPLATES
 
-THRESHOLD, SPAN = 0.8, 3
+THRESHOLD = 0.8
 #: More templates than this are refused: they are broadcast.
 MAX_TEMPLATES = 10_000
 PHRASES = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
-TEMPLATES = [
-    ("mit", "Released under the MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("apache", "Licensed under the Apache License, Version 2.0"),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3"),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
-    ("lgpl", "Licensed under the GNU Lesser General Public License"),
-    ("agpl", "Licensed under the GNU Affero General Public License"),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
-    ("cc-by", "Licensed under CC BY 4.0"),
-    ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-nd", "Licensed under CC BY-ND 4.0"),
-]
-#: Bytes of words as they are (capitals as small letters), all others as spaces; line feeds stay.
+#: Bytes of words as they are (capitals as small letters), all others as spaces.
 _WORD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
-_LINE = bytes(10 if c == 10 else x for c, x in enumerate(_WORD))
 
 
-def tokens_of(text: str) -> frozenset[bytes]:
-    return frozenset(text.encode().translate(_WORD).split())
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode().translate(_WORD).split()
+
+
+@dataclass(frozen=True, slots=True)
+class Match:
+    """A block, as its first and last word's places, and the share of the template's tokens that stand in it."""
+
+    template: int
+    first: int
+    last: int
+    share: float
 
 
 class Templates:
@@ -61,75 +58,91 @@ class Templates:
 
     def __init__(self, templates: list[tuple[str, str]], frequency: dict[bytes, int]):
         self.labels = [label for label, _ in templates]
-        self.sets = [tokens_of(text) for _, text in templates]
+        self.sets = [frozenset(words_of(text)) for _, text in templates]
         self.least = [ceil(THRESHOLD * len(s) - 1e-9) for s in self.sets]
+        self.most = [floor(len(words_of(text)) / THRESHOLD + 1e-9) for _, text in templates]
         self.index: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for t, s in enumerate(self.sets):
             for k, token in enumerate(sorted(s, key=lambda x: (frequency.get(x, 0), x))[: len(s) - self.least[t] + 1]):
                 self.index[token].append((t, k))
         self.seeds = frozenset(self.index)
-        self.spans = [ceil(len(text.encode().translate(_WORD).split()) / THRESHOLD - 1e-9) for _, text in templates]
+        self.tokens = frozenset().union(*self.sets)
 
-    def matches(self, block: frozenset[bytes]) -> list[tuple[int, float]]:
-        """(template, containment) of all that meet the threshold, without those whose evidence a better one explains."""
+    def candidates(self, block: frozenset[bytes]) -> list[int]:
+        """The templates that a block of these tokens, or a part of it, can hold: prefix, positional and length filter."""
         first: dict[int, int] = {}
         for token in self.seeds & block:
             for t, k in self.index[token]:
                 first[t] = min(k, first.get(t, k))
-        found = []
-        for t, k in first.items():
-            size = len(self.sets[t])
-            if len(block) < self.least[t] or size - k < self.least[t]:
-                continue
-            common = self.sets[t] & block
-            if len(common) >= self.least[t]:
-                found.append((t, len(common) / size, common))
-        explained = lambda t, c, common: any(common <= self.sets[u] and (d > c or d == c and self.sets[t] < self.sets[u]) for u, d, _ in found)
-        return [(t, c) for t, c, common in found if not explained(t, c, common)]
-
-
-    def runs(self, words: list[bytes]) -> list[tuple[int, float]]:
-        """What ``matches`` gives for blocks, for all runs of words of the templates' lengths."""
-        around: dict[int, list[list[int]]] = defaultdict(list)
-        for p in [p for p, word in enumerate(words) if word in self.seeds]:
-            for t, _ in self.index[words[p]]:
-                begin, some = max(0, p - self.spans[t] + 1), around[t]
-                if some and begin <= some[-1][1]:
-                    some[-1][1] = p + 1
-                else:
-                    some.append([begin, p + 1])
-        met: dict[int, dict[int, frozenset[bytes]]] = {}
-        for t, stretches in around.items():
-            own, span, starts = self.sets[t], self.spans[t], {}
-            for begin, end in stretches:
-                if len(own.intersection(words[begin : end + span])) >= self.least[t]:
-                    for k in range(begin, end):
-                        common = own.intersection(words[k : k + span])
-                        if len(common) >= self.least[t]:
-                            starts[k] = common
-            if starts:
-                met[t] = starts
-        best: dict[int, float] = {}
-        for t, starts in met.items():
-            own, size, span = self.sets[t], len(self.sets[t]), self.spans[t]
-            rivals = [u for u in met if u != t and len(own & self.sets[u]) >= self.least[t]]
-            for k, common in starts.items():
-                c = len(common) / size
-                if c <= best.get(t, 0):
-                    continue
-                # The shortest beginning of the run that has all common words, and of that the shortest end.
-                end = max(words.index(x, k) for x in common)
-                part = words[k : end + 1][::-1]
-                begin = end - max(part.index(x) for x in common)
-                explained = any(
-                    common <= self.sets[u] and (d > c or d == c and own < self.sets[u])
-                    for u in rivals
-                    for b in range(end - self.spans[u] + 1, begin + 1)
-                    if (d := len(met[u].get(b, ())) / len(self.sets[u]))
-                )
-                if not explained:
-                    best[t] = c
-        return list(best.items())
+        return sorted(t for t, k in first.items() if len(block) >= self.least[t] <= len(self.sets[t]) - k)
+
+    def blocks(self, t: int, hits: list[tuple[int, bytes]]) -> Iterator[Match]:
+        """The blocks that hold the template's share, from the text's hits (place, token).
+
+        Two pointers go over the hits: the longest block that begins at each, cut to the hit that completes it. Of two
+        of which one lies in the other, the one with the higher share is given, of equal shares the inner one.
+        """
+        own, least, most = self.sets[t], self.least[t], self.most[t]
+        hits = [x for x in hits if x[1] in own]
+        inside: dict[bytes, int] = defaultdict(int)
+        end, best = 0, None
+        for k, (first, token) in enumerate(hits):
+            while end < len(hits) and hits[end][0] - first < most:
+                inside[hits[end][1]] += 1
+                end += 1
+            last = self._completed(hits, k, end, len(inside)) if len(inside) >= least else None
+            if last is not None:
+                found = Match(t, first, last, len(inside) / len(own))
+                if best is None or found.last > best.last:
+                    if best:
+                        yield best
+                    best = found
+                elif found.share >= best.share:
+                    best = found
+            inside[token] -= 1
+            if not inside[token]:
+                del inside[token]
+        if best:
+            yield best
+
+    def _completed(self, hits: list[tuple[int, bytes]], k: int, end: int, size: int) -> int | None:
+        """The place of the hit with which ``size`` different tokens have been met from hit ``k`` on.
+
+        None if the first token comes again before, as then a block that begins later holds as much.
+        """
+        met = set()
+        for x in range(k, end):
+            place, token = hits[x]
+            if x > k and token == hits[k][1]:
+                return None
+            met.add(token)
+            if len(met) == size:
+                return place
+        return None
+
+    def matches(self, words: list[bytes]) -> list[Match]:
+        """All templates' blocks in a text, by their places."""
+        present = frozenset(words) if not self.seeds.isdisjoint(words) else frozenset()
+        wanted = [t for t in self.candidates(present) if len(self.sets[t] & present) >= self.least[t]]
+        if not wanted:
+            return []
+        hits = [(k, word) for k, word in enumerate(words) if word in self.tokens]
+        return sorted((m for t in wanted for m in self.blocks(t, hits)), key=lambda m: (m.first, m.last, m.template))
+
+    def named(self, matches: list[Match]) -> set[str]:
+        """The labels of matches, but not of a block that lies in one which holds more of another template.
+
+        Of equal shares the larger template's counts, so a notice of one licence isn't one of its near relatives too.
+        """
+        grade = lambda m: (round(m.share, 9), len(self.sets[m.template]))
+        labels, open_ = set(), []
+        for m in sorted(matches, key=lambda m: (m.first, -m.last, *(-x for x in grade(m)))):
+            open_ = [x for x in open_ if x.last >= m.first]
+            if not any(x.last >= m.last and grade(x) > grade(m) for x in open_):
+                labels.add(self.labels[m.template])
+            if not any(x.last >= m.last and grade(x) >= grade(m) for x in open_):
+                open_.append(m)
+        return labels
 
 
 def places(words: list[bytes], phrase: str) -> list[int]:
@@ -143,27 +156,18 @@ def places(words: list[bytes], phrase: str) -> list[int]:
 
 
 def scan_text(text: str | None, templates: Templates) -> tuple:
-    raw = (text or "").encode()
-    words = raw.translate(_WORD).split()
+    words = words_of(text)
     base, at = set(), []
     if b"license" in words:
         for phrase, label in PHRASES:
             if some := places(words, phrase):
                 base.add(label)
                 at += some
-    labels, score = set(base), float(bool(base))
-    if not templates.seeds.isdisjoint(words):
-        lines = [frozenset(x.split()) for x in raw.translate(_LINE).split(b"\n")]
-        for k, line in enumerate(lines):
-            blocks = [line] if len(lines) == 1 else [line, frozenset().union(*lines[k : k + SPAN])]
-            for block in blocks:
-                for t, containment in templates.matches(block):
-                    labels.add(templates.labels[t])
-                    score = max(score, containment)
-        for t, containment in templates.runs(words):
-            labels.add(templates.labels[t])
-            score = max(score, containment)
-    return len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score
+    found = templates.matches(words)
+    labels = base | templates.named(found)
+    score = max([float(bool(base)), *(m.share for m in found)])
+    listed = [{"label": templates.labels[m.template], "first": m.first, "last": m.last, "share": m.share} for m in found]
+    return len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, listed
 
 
 def token_frequency(df: DataFrame, tokens: frozenset[bytes], text: str = "text") -> dict[bytes, int]:
@@ -173,7 +177,7 @@ def token_frequency(df: DataFrame, tokens: frozenset[bytes], text: str = "text")
         total: dict[bytes, int] = defaultdict(int)
         for batch in batches:
             for value in batch.column("_text").to_pylist():
-                for token in tokens.intersection((value or "").encode().translate(_WORD).split()):
+                for token in tokens.intersection(words_of(value)):
                     total[token] += 1
         yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.binary()), pa.array(total.values(), pa.int64())], ["token", "n"])
 
@@ -182,21 +186,23 @@ def token_frequency(df: DataFrame, tokens: frozenset[bytes], text: str = "text")
 
 
 def scan(df: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, text: str = "text") -> DataFrame:
-    """``df`` with the words, places, labels and score of each whole text."""
+    """``df`` with the words, places, labels, score and matches (label, first and last word, share) of each whole text."""
     if len(templates) > MAX_TEMPLATES:
         raise ValueError(f"more than {MAX_TEMPLATES} templates")
-    frequency = token_frequency(df, frozenset().union(*(tokens_of(t) for _, t in templates)), text)
+    frequency = token_frequency(df, frozenset().union(*(words_of(t) for _, t in templates)), text)
     shared = df.sparkSession.sparkContext.broadcast((templates, frequency))
-    fields = [("n_words", "long"), ("n_base", "long"), ("first_word", "long"), ("last_word", "long"), ("base_labels", "string"), ("labels", "string"), ("score", "double")]
-    kinds = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
+    listed = "array<struct<label:string,first:bigint,last:bigint,share:double>>"
+    fields = [("n_words", "long"), ("n_base", "long"), ("first_word", "long"), ("last_word", "long"), ("base_labels", "string"), ("labels", "string"), ("score", "double"), ("matches", listed)]
+    match = pa.struct([("label", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("share", pa.float64())])
+    kinds = {"long": pa.int64(), "string": pa.string(), "double": pa.float64(), listed: pa.list_(match)}
     kept = [x for x in df.columns if x not in dict(fields)]
     schema = df.select(kept).schema
     for name, kind in fields:
-        schema = schema.add(name, kind)
+        schema = schema.add(name, kind if kind != listed else StructType.fromDDL(f"x {listed}")["x"].dataType)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Templates(*shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             made = list(zip(*(scan_text(x, index) for x in batch.column(text).to_pylist()), strict=True)) or [()] * len(fields)
             arrays = [pa.array(values, kinds[kind]) for values, (_, kind) in zip(made, fields, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in kept), *arrays], [*kept, *dict(fields)])
@@ -205,4 +211,4 @@ def scan(df: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, text: str
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "matches")
