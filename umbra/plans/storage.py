@@ -4,12 +4,26 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` in the session's shared checkpoint folder, without its lineage; a local folder only where none is set."""
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and not context._jsc.sc().getCheckpointDir().isDefined():
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``, or a checkpoint folder set otherwise.
+
+    A local one is made only where none is set and Spark runs in one process, as in tests; on a cluster that is an error.
+    """
+    context = spark.sparkContext
+    named, held = spark.conf.get("spark.checkpoint.dir", None), context._jsc.sc().getCheckpointDir()
+    if named and not held.isDefined():
+        context.setCheckpointDir(named)
+    elif not held.isDefined():
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: intermediate results need a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="umbra-checkpoint-"))
+    return named or context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` in the shared folder, without its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
