@@ -2,27 +2,36 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from umbra.plans.storage import cut as cut
+
+#: A key of more than this part of the rows is hot, so there are at most as many hot keys.
+HOT = 500
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, with its lineage cut.
+def join_counted(left: DataFrame, counted: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:
+    """``left`` with the columns of ``counted``, which has one row a key and says how many rows of ``left`` have it.
 
-    The folder is the session's ``spark.checkpoint.dir``; a local one is set only where that is unset, as in tests.
+    Keys with more than one in ``HOT`` of the rows, of which there are at most ``HOT``, are broadcast, so that a hot key's
+    rows stay where they are; the others are shuffled. ``how`` is inner, or left if ``counted`` has all keys but null.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="umbra-checkpoint-"))
-    return df.checkpoint()
+    rows, most = counted.agg(F.sum(count), F.max(count)).first()
+    if not rows or most <= max(rows // HOT, 1):
+        return left.join(counted, key, how)
+    hot = F.col(count) > max(rows // HOT, 1)
+    named = F.broadcast(counted.where(hot).select(F.col(key).alias("_hot")))
+    many = left.join(F.broadcast(counted.where(hot)), key)
+    few = left.join(named, left[key] == named["_hot"], "left_anti").join(counted.where(~hot), key, how)
+    return many.unionByName(few.select(many.columns))
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:

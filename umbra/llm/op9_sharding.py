@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from umbra.llm.common import cut, table
+from umbra.llm.common import cut, join_counted, table
 
 SHARDS, ROUNDS = 8, 4
 #: Blocks that a shard's share of rows is at least worth, so that what is kept together fits beside other rows.
@@ -45,11 +45,12 @@ def _chance(node: str, salt: int) -> Column:
 def links(base: DataFrame, rows: int, shards: int) -> DataFrame:
     """(a, b): members with their block's hub, hubs with the next block's hub. ``base``: (node, text_key)."""
     most = max(1, rows // (shards * BLOCKS_A_SHARD))
-    many = base.groupBy("text_key").agg(F.count("*").alias("n")).where("n > 1")
-    members = base.join(many, "text_key").select("text_key", "node", F.pmod(F.xxhash64("node", F.lit(7)), F.ceil(F.col("n") / most)).alias("block")).distinct()
-    members = cut(members)
-    hubs = cut(members.groupBy("text_key", "block").agg(F.min("node").alias("hub")))
-    inside = members.join(hubs, ["text_key", "block"]).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    many = cut(base.groupBy("text_key").agg(F.count("*").alias("n")).where("n > 1"))
+    members = join_counted(base, many, "text_key", "n").select("node", F.struct("text_key", F.pmod(F.xxhash64("node", F.lit(7)), F.ceil(F.col("n") / most)).alias("block")).alias("place"))
+    members = cut(members.distinct())
+    held = cut(members.groupBy("place").agg(F.min("node").alias("hub"), F.count("*").alias("held")))
+    inside = join_counted(members, held, "place", "held").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    hubs = held.select("place.text_key", "place.block", "hub")
     after = hubs.select("text_key", (F.col("block") - 1).alias("block"), F.col("hub").alias("next"))
     chain = hubs.join(after, ["text_key", "block"]).select(F.col("hub").alias("a"), F.col("next").alias("b"))
     return inside.withColumn("chain", F.lit(False)).union(chain.withColumn("chain", F.lit(True)))
