@@ -1,13 +1,17 @@
 """A training-data pipeline over ``documents``: each stage filters or codes what the one before it has kept.
 
 ``run`` writes every stage's result as Parquet under the shared checkpoint folder and reads it again for the next one,
-so that a lost executor costs one stage's tasks at most. Documents without an id pass the near-duplicate and benchmark
-stages, as these can't name them.
+so that a lost executor costs one stage's tasks at most. A stage's result is deleted when the next one has been written;
+that of the last but one stays, as the rows that ``run`` returns are read from it.
+
+Defined cases: documents without an id are judged by their texts like all others, and of those with one text one row
+stays; rows of one id count as one document for near copies and are kept or dropped together there; null and empty
+texts get the score of a text without words in the first two stages, are no copies of each other, hold no benchmark
+item and have no tokens; extra columns stay up to the last stage; empty tables give no rows.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from fractions import Fraction
 
@@ -15,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from umbra.llm import op2_byte_bpe, op3_toxicity, op4_near_dedup, op5_decontamination, op7_quality
-from umbra.llm.common import table
+from umbra.llm.common import cut, table
+from umbra.plans.storage import shared_folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +37,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies: five-word shingles, similarity 0.8 or more."""
-    return op4_near_dedup.groups(docs, words=5, similarity=Fraction(8, 10)).where("kept").select(docs.columns)
+    kept = cut(op4_near_dedup.groups(docs, words=5, similarity=Fraction(8, 10)).where("kept").select(docs.columns))
+    # Without an id, rows of one text can't be told apart, so all are kept or none; here one of them is.
+    return kept.where("doc_id IS NOT NULL").unionByName(kept.where("doc_id IS NULL").dropDuplicates(["text"]))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,13 +68,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="umbra-pipeline-")
-    folder = f"{folder}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        result = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return result
-        result.write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
-    return docs
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = table(spark, sf_dir, "documents"), None
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        path = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            _delete(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder through Spark's own file systems, so wherever it lies."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

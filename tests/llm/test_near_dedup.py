@@ -65,13 +65,13 @@ def test_five_words_with_long_lists(spark, monkeypatch):
     check(spark, corpus(3, 25, 14), 3, Fraction(85, 100))
 
 
-def test_blocks_join_components_at_all_sizes():
+def test_tiles_join_components_at_all_sizes():
     import numpy as np
     import pandas as pd
 
     sets = [np.arange(k, k + 100) for k in range(0, 30, 5)]
     frame = pd.DataFrame([{"side": s, "id": k + 10 * s, "component": k + 10 * s, "whole": x} for s in (0, 1) for k, x in enumerate(sets)])
-    links = op._block_links(Fraction(8, 10))(frame)
+    links = op._tile_links(Fraction(8, 10))(frame)
     jac = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
     want = collections.defaultdict(set)
     for i, a in enumerate(sets):
@@ -81,15 +81,47 @@ def test_blocks_join_components_at_all_sizes():
     assert all(b in want[a] for a, b in links.itertuples(index=False)) and len(links) >= len(sets)
 
 
+def test_sketches_let_every_linked_pair_of_a_tile_pass():
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    base = np.sort(rng.integers(-(1 << 62), 1 << 62, 400))
+    sets = [np.unique(np.concatenate([base[rng.random(400) < keep], rng.integers(-(1 << 62), 1 << 62, extra)])) for keep, extra in ((1, 0), (0.97, 5), (0.95, 20), (0.5, 100), (0.1, 300), (0.05, 2))]
+    bottom = lambda s: np.sort(s.view(np.uint64))[: op.SKETCH].view(np.int64)
+    tile = pd.DataFrame([{"value": 1, "i": 0, "j": 0, "side": s, "id": k + 10 * s, "component": k + 10 * s, "n": len(x), "sketch": bottom(x)} for s in (0, 1) for k, x in enumerate(sets)])
+    passed = set(op._tile_candidates(Fraction(8, 10))(tile).id)
+    jac = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    linked = {x for i, a in enumerate(sets) for j, b in enumerate(sets) if jac(a, b) >= 0.8 for x in (i, 10 + j)}
+    assert {0, 1, 2} <= linked <= passed
+
+
 def test_odd_rows(spark):
     rows = [(1, "a b c d", "p"), (1, "a b c d", "p"), (None, "a b c d", "q"), (None, None, "r"), (7, "a b c d", "s"), (8, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
     out = op.groups(df).collect()
     assert len(out) == 6 and sorted(r.doc_id for r in out if r.doc_id is not None and r.kept) == [1, 1, 8]
-    assert all(r.kept for r in out if r.doc_id is None) and {r.component_id for r in out if r.doc_id == 7} == {1}
+    assert {(r.text, r.kept, r.component_id) for r in out if r.doc_id is None} == {("a b c d", False, 1), (None, True, None)}
+    assert {r.component_id for r in out if r.doc_id == 7} == {1}
     assert op.groups(df.limit(0)).count() == 0
-    slim = op.groups(df.drop("component_id")).collect()
-    assert len(slim) == 6 and {r.component_id for r in slim if r.doc_id is None} == {1, None}
+    long = " ".join(f"w{k}" for k in range(60))
+    unnamed = spark.createDataFrame([(None, long, 1), (None, long, 2), (None, long + " end", 3), (None, "other", 4)], "doc_id string, text string, k int")
+    assert op.groups(unnamed.drop("k")).columns == ["doc_id", "text", "n_shingles", "component_id", "kept"]
+    got = {r.k: r.kept for r in op.groups(unnamed).collect()}
+    assert got[4] and got[1] == got[2] != got[3] and {r.component_id for r in op.groups(unnamed).collect()} == {None}
+
+
+def test_hot_keys_join_as_others_do(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from umbra.llm import common
+
+    monkeypatch.setattr(common, "HOT", 10)
+    left = spark.range(1000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 7).alias("k"), "id").union(spark.range(500).selectExpr("99L", "id")).union(spark.range(30).selectExpr("CAST(NULL AS BIGINT)", "id"))
+    counted = left.where("k is not null").groupBy("k").agg(F.count("*").alias("n"))
+    for how in ("inner", "left"):
+        got = common.join_counted(left, counted, "k", "n", how)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, left.join(counted, "k", how).collect()), key=str)
 
 
 def test_components(spark):

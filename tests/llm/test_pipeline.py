@@ -43,3 +43,17 @@ def test_stages(spark, tmp_path):
     codec = op2_byte_bpe.Codec(open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read(), public_tokenizers.PATTERN)
     assert all(codec.decode(bytes(r.ids_le)) == truth[r.doc_id][1].encode() for r in docs.collect())
     assert {r.doc_id for r in pipeline.run(spark, str(tmp_path)).collect()} == counts[4]
+
+
+def test_rows_without_ids_and_empty_tables(spark, tmp_path):
+    text = " ".join(f"w{k % 17}x{k}" for k in range(40))
+    item = "eleven quick foxes jump over one lazy dog near the old mill pond again"
+    rows = [(None, text, "e"), (None, text, "e"), (None, None, "e"), (None, None, "f"), (5, "short", "e"), (5, "short", "e"), (7, text + " more", "e"), (None, "so " + item, "e"), (None, "", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    left = pipeline.near_dedup(spark, docs, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in left) == sorted([("7", text + " more"), ("5", "short"), ("5", "short"), ("None", ""), ("None", ""), ("None", "so " + item)])
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert pipeline.decontaminate(spark, docs, str(tmp_path)).count() == len(rows) - 1
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert pipeline.run(spark, str(tmp_path)).count() == 0

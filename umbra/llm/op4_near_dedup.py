@@ -6,21 +6,24 @@
    fit into a sketch share a number that follows from their size. So with the values ordered by how many sketches
    retain them, rarest first, the two have a value in common among the first (retained - shared + 1) of each: these go
    into the inverted lists, and frequent passages stay out of nearly all of them.
-3. Lists longer than ``LONG`` are replaced: their documents' whole sets are listed in the same way, by the exact number
-   of values that such sets must share.
+3. The documents of lists longer than ``LONG`` get longer sketches, which retain all their values (bottom-k with k the
+   size of the set), and are listed by these in the same way; the number that such sets must share is exact then.
 4. In each list all documents are paired with its first one. Pairs of fitting size pass if the estimate from the union
    of the two sketches allows it, and link if the exact Jaccard similarity of the full sets is high enough.
 5. Linked documents grow together to components. Lists that then hold several components are searched for links
-   between these: short lists pair by pair, long ones in blocks of ``BLOCK`` by ``BLOCK`` documents whose full sets are
-   multiplied as a matrix and which give only the links that join something. So no pairs within a component are made.
+   between these: short lists pair by pair, long ones in tiles of ``BLOCK`` by ``BLOCK`` documents. A tile first
+   multiplies the sketches as matrices, and what these rule out goes no further; then the full sets of what is left, and
+   gives only the links that join something. So no pairs within a component are made.
 
-Nothing is capped, so no list loses a link. All but the fixed number of blocks' documents stays in distributed tables.
+Nothing is capped, so no list loses a link. Values and sets of which one has a large part of the rows meet their counts
+by a broadcast of the few that are so frequent, so that no task gets all rows of one.
 
 Defined cases: a text without words, or null, has an empty set and is linked with nothing; one with fewer words than a
 shingle has its whole sequence as its one shingle; equal texts always share a component; rows of one id count as one
-document and are all returned; rows without an id belong to a component only by an equal set, else their component is
-null, and they are always kept (with extra columns their results are null); an empty table gives no rows. Extra columns
-of the input stay, but those named like a result are replaced.
+document and are all returned, and so are rows without an id that have the same text. These are judged like all others
+but come behind all ids, so their component is null if it has no document with an id, and they are kept only then and if
+they are the first of it. An empty table gives no rows. Extra columns of the input stay, but those named like a result
+are replaced. Ids are strings, or numbers below 2**63 - 2**60.
 """
 
 from __future__ import annotations
@@ -36,15 +39,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, LongType, StringType
 
-from umbra.llm.common import cut, slices, table
+from umbra.llm.common import cut, join_counted, slices, table
 from umbra.llm.graph import components
 from umbra.llm.text_hashes import Remembered, mix
 
 SKETCH, LONG, BLOCK = 48, 64, 256
-#: Values that a block's matrix holds at a time.
-COLUMNS = 8_192
+#: Values that a tile's matrix holds at a time, and those of the sets on a side of a tile.
+COLUMNS, TILE_VALUES = 8_192, 400_000
 #: The part of linked pairs that a filter on sketches may miss at most.
 MISSED = 1e-9
 #: Ids up to this number (16 MB) are broadcast, more are joined by a shuffle.
@@ -113,8 +116,8 @@ def _first_values(postings: DataFrame, first: Column) -> DataFrame:
 
     ``postings``: (value, id, n, retained), n being the size of the set and ``retained`` that of the values' list.
     """
-    shared = postings.groupBy("value").agg(F.count("*").alias("often")).where("often > 1")
-    common = postings.join(shared, "value").groupBy("id", "n", "retained").agg(F.array_sort(F.collect_list(F.struct("often", "value"))).alias("values"))
+    shared = cut(postings.groupBy("value").agg(F.count("*").alias("often")).where("often > 1"))
+    common = join_counted(postings, shared, "value", "often").groupBy("id", "n", "retained").agg(F.array_sort(F.collect_list(F.struct("often", "value"))).alias("values"))
     # Values that only one document has come first in the order and pair with nothing.
     left = first - (F.col("retained") - F.size("values"))
     listed = common.where(left > 0).select("id", "n", F.explode(F.slice("values", F.lit(1), left.cast("int"))).alias("x"))
@@ -123,8 +126,8 @@ def _first_values(postings: DataFrame, first: Column) -> DataFrame:
 
 def _lists(postings: DataFrame) -> DataFrame:
     """``postings`` of values that more than one document lists, with the ``first`` id and the ``length`` of the list."""
-    heads = postings.groupBy("value").agg(F.count("*").alias("length"), F.min("id").alias("first")).where("length > 1")
-    return postings.join(heads, "value")
+    heads = cut(postings.groupBy("value").agg(F.count("*").alias("length"), F.min("id").alias("first")).where("length > 1"))
+    return join_counted(postings, heads, "value", "length")
 
 
 def _fits(a: str, b: str, similarity: Fraction) -> Column:
@@ -150,27 +153,54 @@ def _verified(pairs: DataFrame, reps: DataFrame, documents: DataFrame, words: in
     return met.where(common * q >= (F.size("wa") + F.size("wb") - common) * p).select("a", "b")
 
 
-def _block_links(similarity: Fraction):
-    """Links between components in two blocks of documents, but only those that join something."""
+def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many values each of ``a`` has in common with each of ``b``, as products of slices of their incidence matrices."""
+    both = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    at = [[np.searchsorted(both, s[np.isin(s, both)]) for s in sets] for sets in (a, b)]
+    common = np.zeros((len(a), len(b)), np.int64)
+    for begin in range(0, len(both), COLUMNS):
+        hits = [np.zeros((len(sets), COLUMNS), np.float32) for sets in at]
+        for m, sets in zip(hits, at, strict=True):
+            for k, s in enumerate(sets):
+                m[k, s[(s >= begin) & (s < begin + COLUMNS)] - begin] = 1
+        common += (hits[0] @ hits[1].T).astype(np.int64)
+    return common
+
+
+def _sides(tile: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    return tuple(tile[tile.side == k].drop_duplicates("id") for k in (0, 1))
+
+
+def _tile_candidates(similarity: Fraction):
+    """The documents of a tile whose sketches allow a link with one of another component on the other side."""
+    p, q, least = similarity.numerator, similarity.denominator, least_shared(similarity)
+
+    def work(tile: pd.DataFrame) -> pd.DataFrame:
+        rows, cols = _sides(tile)
+        if not len(rows) or not len(cols):
+            return tile.drop(columns="sketch").head(0)
+        a, b = list(rows.sketch), list(cols.sketch)
+        common = _overlaps(a, b)
+        union = np.array([len(s) for s in a])[:, None] + np.array([len(s) for s in b])[None, :] - common
+        n, m = rows.n.to_numpy()[:, None], cols.n.to_numpy()[None, :]
+        fits = np.minimum(n, m) * q >= np.maximum(n, m) * p
+        passed = ((common >= least) | (union < SKETCH)) & fits & (rows.component.to_numpy()[:, None] != cols.component.to_numpy()[None, :])
+        return pd.concat([rows[passed.any(axis=1)], cols[passed.any(axis=0)]]).drop(columns="sketch")
+
+    return work
+
+
+def _tile_links(similarity: Fraction):
+    """Links between components on a tile's two sides, but only those that join something."""
     p, q = similarity.numerator, similarity.denominator
 
-    def work(block: pd.DataFrame) -> pd.DataFrame:
-        rows = block[block.side == 0].drop_duplicates("id")
-        cols = block[block.side == 1].drop_duplicates("id")
+    def work(tile: pd.DataFrame) -> pd.DataFrame:
+        rows, cols = _sides(tile)
         out = []
         if len(rows) and len(cols):
             a, b = list(rows.whole), list(cols.whole)
-            both = np.intersect1d(np.concatenate(a), np.concatenate(b))
-            at = [[np.searchsorted(both, s[np.isin(s, both)]) for s in sets] for sets in (a, b)]
-            common = np.zeros((len(a), len(b)), np.int64)
-            for begin in range(0, len(both), COLUMNS):
-                hits = [np.zeros((len(sets), COLUMNS), np.float32) for sets in at]
-                for m, sets in zip(hits, at, strict=True):
-                    for k, s in enumerate(sets):
-                        m[k, s[(s >= begin) & (s < begin + COLUMNS)] - begin] = 1
-                common += (hits[0] @ hits[1].T).astype(np.int64)
-            na, nb = np.array([len(s) for s in a]), np.array([len(s) for s in b])
-            linked = common * q >= (na[:, None] + nb[None, :] - common) * p
+            common = _overlaps(a, b)
+            linked = common * q >= (np.array([len(s) for s in a])[:, None] + np.array([len(s) for s in b])[None, :] - common) * p
             root = {}
 
             def find(x):
@@ -190,9 +220,10 @@ def _block_links(similarity: Fraction):
 
 def _between(lists: DataFrame, grown: DataFrame, reps: DataFrame, documents: DataFrame, words: int, similarity: Fraction) -> DataFrame:
     """Links between different components that meet in a list."""
-    placed = lists.join(grown, "id", "left").select("value", "id", "n", "first", "length", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("value")
-    open_ = cut(placed.join(mixed, "value"))
+    placed = cut(lists.join(grown, "id", "left").select("value", "id", "n", "first", "length", F.coalesce("component", "id").alias("component")))
+    mixed = placed.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("many"), F.sum("n").alias("values"))
+    mixed = cut(mixed.where("low <> high").select("value", "many", "values"))
+    open_ = cut(join_counted(placed, mixed, "value", "many"))
     short = open_.where(F.col("length") <= LONG)
     x, y = short.select("value", "id", "n", "component", "first"), short.select("value", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "component")))
     # Pairs with the list's first document have been looked at. At most LONG rows of y meet a row of x.
@@ -200,30 +231,40 @@ def _between(lists: DataFrame, grown: DataFrame, reps: DataFrame, documents: Dat
     links = _verified(pairs.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct(), reps, documents, words, similarity)
 
     long_ = open_.where(F.col("length") > LONG)
-    sizes = long_.groupBy("value", "component").agg(F.count("*").alias("many"))
-    main = sizes.groupBy("value").agg(F.max_by("component", F.struct("many", "component")).alias("main"))
-    ids = cut(long_.select("id").distinct())
-    sided = cut(long_.join(main, "value").withColumn("blocks", F.ceil(F.col("length") / BLOCK).cast("int")))
+    sizes = long_.groupBy("value", "component").agg(F.count("*").alias("share"))
+    main = cut(sizes.groupBy("value").agg(F.max_by("component", F.struct("share", "component")).alias("main"), F.sum("share").alias("total")))
+    # A side of a tile has about BLOCK documents with TILE_VALUES values in all, so its memory is bounded.
+    blocks = F.ceil(F.greatest(F.col("length") / BLOCK, F.col("values") / TILE_VALUES)).cast("int")
+    sided = cut(join_counted(long_, main, "value", "total").withColumn("blocks", blocks))
     # The main component's documents need no pairs among themselves: rows are all the others, columns are all.
     slot = lambda salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col("blocks")).cast("int")
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    rows = sided.where("component <> main").select("value", "id", "component", F.lit(0).alias("side"), slot(1).alias("i"), F.explode(every).alias("j"))
-    columns = sided.select("value", "id", "component", F.lit(1).alias("side"), F.explode(every).alias("i"), slot(2).alias("j"))
-    tiles = rows.unionByName(columns).join(full_sets(documents, ids, words), "id")
+    rows = sided.where("component <> main").select("value", "id", "n", "component", F.lit(0).alias("side"), slot(1).alias("i"), F.explode(every).alias("j"))
+    columns = sided.select("value", "id", "n", "component", F.lit(1).alias("side"), F.explode(every).alias("i"), slot(2).alias("j"))
+    tiles = rows.unionByName(columns)
+    passed = cut(tiles.join(reps.select("id", "sketch"), "id").groupBy("value", "i", "j").applyInPandas(_tile_candidates(similarity), tiles.schema))
+    wholes = full_sets(documents, cut(passed.select("id").distinct()), words)
     schema = reps.select(F.col("id").alias("a"), F.col("id").alias("b")).schema
-    found = tiles.groupBy("value", "i", "j").applyInPandas(_block_links(similarity), schema)
+    found = passed.join(wholes, "id").groupBy("value", "i", "j").applyInPandas(_tile_links(similarity), schema)
     return links.union(found)
 
 
-def groups(df: DataFrame, words: int = 5, similarity: Fraction = Fraction(8, 10), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``df`` with ``n_shingles``, ``component_id`` and ``kept`` (the row of the component's smallest id)."""
-    others = [x for x in df.columns if x not in ("n_shingles", "component_id", "kept")]
-    documents = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+def _unnamed(doc_id: str, text: str, df: DataFrame) -> Column:
+    """A key for rows without an id, behind all ids of the same type: from the text, so equal texts are one document."""
+    if isinstance(df.schema[doc_id].dataType, StringType):
+        return F.concat(F.lit(chr(0x10FFFF)), F.sha2(F.coalesce(text, F.lit("")), 256))
+    return (F.lit((1 << 63) - 1) - F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(1 << 60))).cast("long")
+
+
+def members(df: DataFrame, words: int = 5, similarity: Fraction = Fraction(8, 10), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, unnamed, n_shingles, component_id, kept) of each row; ``id`` is the text's key where the row has none."""
+    node = F.coalesce(F.col(doc_id), _unnamed(doc_id, text, df))
+    documents = df.select(node.alias("id"), F.col(text).alias("text"), F.col(doc_id).isNull().alias("unnamed"))
     slim = cut(sketches(documents, words))
-    classes = slim.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("id").alias("rep"))
-    of_class = slim.join(classes, "digest", "left").select("id", "n_shingles", "digest", "rep")
-    reps = slim.join(classes.select("digest", F.col("rep").alias("id")), ["digest", "id"]).dropDuplicates(["id"])
-    reps = cut(reps.select("id", F.col("n_shingles").alias("n"), "sketch"))
+    classes = cut(slim.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
+    firsts = classes.select("digest", F.col("rep").alias("id"))
+    reps = slim.join(firsts, ["digest", "id"]).groupBy("id").agg(F.max("n_shingles").alias("n"), F.max_by("sketch", "digest").alias("sketch"))
+    reps = cut(reps)
 
     p, q = similarity.numerator, similarity.denominator
     exact = lambda n: -F.floor(-(n * p) / q)
@@ -234,7 +275,7 @@ def groups(df: DataFrame, words: int = 5, similarity: Fraction = Fraction(8, 10)
     listed = cut(listed)
     short = listed.where(F.col("length") <= LONG)
     hot = cut(listed.where(F.col("length") > LONG).select("id").distinct())
-    wholes = full_sets(documents, hot, words).select(F.explode("whole").alias("value"), "id", F.size("whole").cast("long").alias("n"), F.size("whole").alias("retained"))
+    wholes = cut(full_sets(documents, hot, words)).select(F.explode("whole").alias("value"), "id", F.size("whole").cast("long").alias("n"), F.size("whole").alias("retained"))
     again = _lists(_first_values(wholes, F.col("n") - exact(F.col("n")) + 1))
     lists = cut(short.unionByName(again))
 
@@ -245,19 +286,26 @@ def groups(df: DataFrame, words: int = 5, similarity: Fraction = Fraction(8, 10)
     more = cut(_between(lists, grown, reps, documents, words, similarity))
     final = components(links.union(more))
 
-    named = of_class.join(final.withColumnRenamed("id", "rep"), "rep", "left")
-    result = named.select("id", "n_shingles", F.coalesce("component", "rep", "id").alias("component_id"))
-    result = result.withColumn("kept", F.col("id").isNull() | (F.col("id") == F.col("component_id")))
-    if set(others) == {doc_id, text}:
-        return result.withColumnRenamed("id", doc_id)
+    placed = cut(classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("digest", "copies", F.coalesce("component", "rep").alias("component")))
+    result = join_counted(slim, placed, "digest", "copies", "left").withColumn("component", F.coalesce("component", "id"))
+    # A component that only rows without an id belong to has no id to be named by.
+    unnamed = F.col("component") > F.lit(chr(0x10FFFF) if isinstance(df.schema[doc_id].dataType, StringType) else (1 << 63) - 1 - (1 << 60))
+    return result.select("id", "unnamed", "n_shingles", F.when(~unnamed, F.col("component")).alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
+def groups(df: DataFrame, words: int = 5, similarity: Fraction = Fraction(8, 10), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``df`` with ``n_shingles``, ``component_id`` and ``kept`` (the row of the component's smallest id)."""
+    others = [x for x in df.columns if x not in ("n_shingles", "component_id", "kept")]
     # Rows of one id count as one document, whatever their texts are.
-    one = result.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"), F.min("kept").alias("kept"))
-    return df.select(others).join(one, df[doc_id] == one["id"], "left").drop("id").withColumn("kept", F.coalesce("kept", F.lit(True)))
+    one = members(df, words, similarity, doc_id, text).groupBy("id").agg(F.min("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"), F.min("kept").alias("kept"))
+    node = F.coalesce(F.col(doc_id), _unnamed(doc_id, text, df))
+    return df.select(*others, node.alias("_node")).join(one, F.col("_node") == one["id"], "left").select(*others, "n_shingles", "component_id", "kept")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return groups(documents, words=3, similarity=Fraction(85, 100))
+    found = members(documents, words=3, similarity=Fraction(85, 100))
+    return found.select(F.when(~F.col("unnamed"), F.col("id")).alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
 #: All pairs of documents that share a shingle, counted, and the closure of the links.
