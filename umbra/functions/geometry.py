@@ -110,6 +110,17 @@ def covered_fraction(a: Rect, b: Rect) -> Column:
     return F.when(whole <= EPSILON, point).otherwise(F.when(finite(part), part).otherwise(0.0))
 
 
+def covered_at_least(a: Rect, b: Rect, share: float) -> Column:
+    """Whether ``b`` covers this part of ``a``, for rectangles that are known to be usable: short enough to be compiled in a join."""
+    whole = F.greatest(width(a), F.lit(0.0)) * F.greatest(height(a), F.lit(0.0))
+    w = F.least(a.urx, b.urx) - F.greatest(a.llx, b.llx)
+    h = F.least(a.ury, b.ury) - F.greatest(a.lly, b.lly)
+    x, y = center(a)
+    part = w * h / whole
+    inside = (w > 0) & (h > 0) & (part >= share) & (part < 2.0)  # products too large for a double cover nothing
+    return F.when(whole <= EPSILON, (x >= b.llx) & (x <= b.urx) & (y >= b.lly) & (y <= b.ury)).otherwise(inside)
+
+
 def sane_box(r: Rect) -> tuple[Rect, Column]:
     """(a page box, whether A4 had to take its place): an extent must be finite and between the two bounds."""
     good = usable(r) & width(r).between(MIN_EXTENT, MAX_EXTENT) & height(r).between(MIN_EXTENT, MAX_EXTENT)

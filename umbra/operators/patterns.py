@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from umbra.functions import validators
+from umbra.functions.arrays import let, running_totals
 from umbra.sources.runs import span_rect
 
-MAX_KEYWORD_PREFIX = 24
 DEFAULT_MIN_CONFIDENCE, VALIDATED = 0.5, 0.99
 
 
@@ -44,7 +44,7 @@ BUILTIN = [
     Pattern(
         "konto_nr",
         _with_context(
-            rf"(?i:[a-zäöüß]{{0,{MAX_KEYWORD_PREFIX}}}konto(?:nummer|[- ]?(?:nr\.?|nummer))?|kto\.?(?:-?nr\.?)?)",
+            r"(?i:[a-zäöüß]{0,24}konto(?:nummer|[- ]?(?:nr\.?|nummer))?|kto\.?(?:-?nr\.?)?)",
             r"(?<![0-9A-Za-z])(?:[0-9]{4,10}(?:\s[0-9]{2,6})+|[0-9]{6,10})(?![0-9A-Za-z])",
         ),
         "account number after a keyword", 0.85, 0.3,
@@ -180,21 +180,24 @@ def hits_of(pattern: Pattern, text: Column) -> Column:
     """All hits of one pattern in a line, as an array of (start, text, has_context)."""
     before, target, after = _parts(pattern.regex)
     marked = F.regexp_replace(F.translate(text, "\u0001\u0002\u0003", "   "), rf"(?U)(?<pre>{before})(?<target>{target})(?<post>{after})", "\u0003${pre}\u0001${target}\u0002${post}")
-    pieces = F.split(marked, "\u0001")
     shape = re.search(r"\|(\(\?=.*?\))\)\[:\.\]\?", before) if "(?<context>" in before else None
 
-    def hit(k: Column) -> Column:
+    def hit(pieces: Column, totals: Column, k: Column) -> Column:
         # Before hit k stand k pieces with one mark of the third kind each and k - 1 of the second.
-        ahead = F.aggregate(F.slice(pieces, F.lit(1), k), F.lit(0), lambda n, piece: n + F.length(piece)) - 2 * k + 1
-        found = F.substring_index(F.element_at(pieces, k + 1), "\u0002", 1)
+        ahead = F.get(totals, k - 1) - 2 * k + 1
+        found = F.substring_index(F.get(pieces, k), "\u0002", 1)
         lead = F.length(found) - F.length(F.regexp_replace(found, r"(?U)^\s+", ""))
-        named = ~F.element_at(pieces, k).endswith("\u0003") if "(?<context>" in before else F.lit(False)
+        named = ~F.get(pieces, k - 1).endswith("\u0003") if "(?<context>" in before else F.lit(False)
         if shape:
             named = named | found.rlike("(?U)^" + shape[1])
         return F.struct((ahead + lead).alias("start"), F.regexp_replace(found, r"(?U)^\s+|\s+$", "").alias("text"), named.alias("has_context"))
 
-    every = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), hit)
-    return F.when(F.size(pieces) > 1, F.filter(every, lambda h: h["text"] != ""))
+    def hits(pieces: Column) -> Column:
+        totals = running_totals(F.transform(pieces, F.length))
+        every = let(totals, lambda t: F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda k: hit(pieces, t, k)))
+        return F.when(F.size(pieces) > 1, F.filter(every, lambda h: h["text"] != ""))
+
+    return let(F.split(marked, "\u0001"), hits)
 
 
 def confidence_of(pattern: Pattern, text: Column, has_context: Column) -> Column:
