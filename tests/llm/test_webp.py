@@ -53,6 +53,27 @@ def test_cache_copies_and_groups():
     same(r, 12, copies=copies, cache_bits=4)
 
 
+def test_damaged_media_do_not_stop_the_others(spark):
+    good = write(noise(64), 8)
+    rng = np.random.default_rng(1)
+    bad = [b"", b"no image", good[:30], good + write(noise(64), 16), b"RIFF" + good[4:8] + b"WEBPVP8 " + good[16:]]
+    torn = [bytes(x if rng.random() > 0.02 else int(rng.integers(256)) for x in good) for _ in range(30)]
+    rows = [(k, bytearray(x)) for k, x in enumerate([good, good + good, *bad, *torn])] + [(-1, None)]
+    out = {r.k: r for r in op.decode(spark.createDataFrame(rows, "k int, media binary")).collect()}
+    assert out[0].error is None and (out[0].width, out[0].height) == (8, 8) and (out[1].width, out[1].height) == (8, 16)
+    assert bytes(out[1].pixels) == bytes(out[0].pixels) * 2 and out[-1].pixels is None and out[-1].error is None
+    assert all(out[2 + k].error and out[2 + k].pixels is None for k in range(len(bad)))
+    assert len(out) == len(rows)
+
+
+def test_long_payloads_are_decoded_whole(spark):
+    text = "".join(chr(97 + k % 23) + str(k) for k in range(70_000))
+    stored = op.store(spark.createDataFrame([(1, text * 5)], "k int, text string")).drop("text")
+    shown = op.decode(stored).first()
+    pixels = np.frombuffer(bytes(shown.pixels), "<u4")
+    assert shown.error is None and (pixels >> 8).astype(np.uint8).tobytes() == op.padded(text * 5)[0] and len(pixels) == shown.width * shown.height > 64 * op.MAX_ROWS
+
+
 def test_damage_is_an_error():
     good = write(noise(64), 8)
     for bad in (b"", good[:30], b"RIFF" + good[4:8] + b"WEBPVP8 " + good[16:]):
@@ -60,7 +81,7 @@ def test_damage_is_an_error():
             webp.read(bad)
 
 
-@pytest.mark.parametrize("text", ["", None, "a", "a" * 64, "ab" * 4000, "x" * 300_000, "Übung é\n" * 50, "the quick brown fox jumps over the lazy dog. " * 3])
+@pytest.mark.parametrize("text", ["", None, "a", "a" * 64, "ab" * 4000, "x" * 300_000, "xyz" * 700_000, "Übung é\n" * 50, "the quick brown fox jumps over the lazy dog. " * 3])
 def test_payload_round_trip(text):
     payload, n = op.padded(text)
     assert len(payload) % 64 == 0 and len(payload) >= 64 and n == len((text or "").encode())

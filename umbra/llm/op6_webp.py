@@ -1,29 +1,32 @@
 """Media columns: texts stored as lossless WebP images and read back to pixel arrays.
 
-``store`` turns binary payloads into media: 8-bit samples in rows of 64, at most 4,096 rows an image, further rows in
-further images behind it. ``decode`` reads any lossless WebP image to its width, height and pixels.
+``store`` turns binary payloads into media: 8-bit samples in rows of 64, in an image of as many rows as the format can
+have (16,384, a payload of one MiB), further rows in further images behind it. ``decode`` reads media of one or more
+lossless WebP images of one width, which stand below each other, to their width, height and pixels.
 
 Defined cases: a null text is an empty one; the payload always has at least one row; payloads of any length are stored
 whole; equal texts give equal media and features; repeated rows repeat; an empty table stays empty. A null medium gives
-null pixels. Columns of the input stay, but those named like a result are replaced.
+null pixels, and so does one that is damaged, whose ``error`` says why; it doesn't stop the others. Columns of the input stay, but those named like a result are replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from umbra.llm import webp
-from umbra.llm.common import table
+from umbra.llm.common import slices, table
 
 ROW = 64
-#: Rows of an image at most: what a reader needs at once stays bounded.
-MAX_ROWS = 4096
+#: Rows of an image at most, by the format.
+MAX_ROWS = 16_384
 
 
 def padded(text: str | None) -> tuple[bytes, int]:
@@ -38,14 +41,35 @@ def to_media(payload: bytes) -> bytes:
     return b"".join(webp.write_grey(samples[at : at + tile], ROW) for at in range(0, len(samples), tile))
 
 
-def from_media(media: bytes) -> bytes:
-    out, at = [], 0
+def images(media: bytes) -> Iterator[bytes]:
+    """The files that a medium consists of, by the lengths in their heads."""
+    at = 0
     while at < len(media):
         end = at + 8 + int.from_bytes(media[at + 4 : at + 8], "little")
-        _, _, pixels = webp.read(media[at:end])
-        out.append((pixels >> 8).astype(np.uint8).tobytes())
+        yield media[at:end]
         at = end
-    return b"".join(out)
+
+
+def pixels_of(media: bytes) -> tuple[int, int, np.ndarray]:
+    """(width, height, pixels) of all of a medium's images below each other."""
+    read = [webp.read(x) for x in images(media)]
+    if len({width for width, *_ in read}) != 1:
+        raise ValueError("no image, or images of different widths")
+    return read[0][0], sum(height for _, height, _ in read), np.concatenate([pixels for *_, pixels in read])
+
+
+def from_media(media: bytes) -> bytes:
+    return (pixels_of(media)[2] >> 8).astype(np.uint8).tobytes()
+
+
+def _shown(media: bytes | None) -> tuple:
+    if media is None:
+        return (None,) * 4
+    try:
+        width, height, pixels = pixels_of(media)
+    except (ValueError, IndexError, struct.error) as damage:
+        return None, None, None, str(damage) or type(damage).__name__
+    return width, height, pixels.astype("<u4").tobytes(), None
 
 
 def feature(payload: bytes) -> str:
@@ -65,32 +89,28 @@ def store(df: DataFrame, text: str = "text") -> DataFrame:
     schema = df.select(kept).schema.add("n_bytes", "long").add("media", "binary")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                made = [padded(x) for x in batch.column(text).to_pylist()]
-                arrays = [pa.array([n for _, n in made], pa.int64()), pa.array([to_media(x) for x, _ in made], pa.binary())]
-                yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in kept), *arrays], [*kept, "n_bytes", "media"])
+        for batch in slices(batches):
+            made = [padded(x) for x in batch.column(text).to_pylist()]
+            arrays = [pa.array([n for _, n in made], pa.int64()), pa.array([to_media(x) for x, _ in made], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in kept), *arrays], [*kept, "n_bytes", "media"])
 
     return df.mapInArrow(work, schema)
 
 
 def decode(df: DataFrame, media: str = "media") -> DataFrame:
-    """``df`` with ``width``, ``height`` and ``pixels`` (little-endian 32-bit ARGB values) of one WebP image a row."""
-    names = ["width", "height", "pixels"]
+    """``df`` with ``width``, ``height``, ``pixels`` (little-endian 32-bit ARGB values) and ``error`` of each medium."""
+    fields = [("width", pa.int32()), ("height", pa.int32()), ("pixels", pa.binary()), ("error", pa.string())]
+    names = [name for name, _ in fields]
     kept = [x for x in df.columns if x not in names]
-    schema = df.select(kept).schema.add("width", "integer").add("height", "integer").add("pixels", "binary")
+    schema = df.select(kept).schema.add("width", "integer").add("height", "integer").add("pixels", "binary").add("error", "string")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 100):
-                batch = whole.slice(at, 100)
-                made = [(None, None, None) if x is None else webp.read(x) for x in batch.column(media).to_pylist()]
-                arrays = [pa.array([m[0] for m in made], pa.int32()), pa.array([m[1] for m in made], pa.int32())]
-                arrays.append(pa.array([None if m[2] is None else m[2].astype("<u4").tobytes() for m in made], pa.binary()))
-                yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in kept), *arrays], [*kept, *names])
+        for batch in slices(batches, 100):
+            made = list(zip(*map(_shown, batch.column("_media").to_pylist()), strict=True)) or [()] * len(fields)
+            arrays = [pa.array(values, kind) for values, (_, kind) in zip(made, fields, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in kept), *arrays], [*kept, *names])
 
-    return df.mapInArrow(work, schema)
+    return df.withColumn("_media", F.col(media)).mapInArrow(work, schema)
 
 
 def read_back(df: DataFrame, media: str = "media") -> DataFrame:
