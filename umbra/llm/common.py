@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from umbra.plans.storage import cut as cut
 
+#: Bytes of the texts of one class that a model learns from at most.
+SAMPLE_BYTES = 12 << 20
 #: A key of more than this part of the rows is hot, so there are at most as many hot keys.
 HOT = 500
 
@@ -46,11 +49,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def sample_of_labels(documents: DataFrame, labels: DataFrame, label: str, per_class: int, classes: int = 2) -> DataFrame:
+def sample_of_labels(documents: DataFrame, labels: DataFrame, label: str, per_class: int, classes: int = 2, bytes_a_class: int = SAMPLE_BYTES) -> DataFrame:
     """(doc_id, text, label): at most ``per_class`` labelled documents of each class, chosen by a hash of the id.
 
-    Only labels outside the held-out fifth count. A document with contradicting labels takes the largest. The bound
-    makes what is learnt from independent of the size of the corpus. Rows without id, text or label take no part.
+    Of these the first are taken whose whole texts have ``bytes_a_class`` bytes in all, but the first in any case. Only
+    labels outside the held-out fifth count. A document with contradicting labels takes the largest, one with several
+    texts the smallest of them. The bounds make what is learnt from independent of the size of the corpus. Rows without
+    id, text or label take no part.
     """
     known = (
         labels.select("doc_id", F.col(label).cast("int").alias("label"))
@@ -64,4 +69,22 @@ def sample_of_labels(documents: DataFrame, labels: DataFrame, label: str, per_cl
         chosen = chosen.unionByName(more)
     # At most classes * per_class pairs of two numbers, so the broadcast is bounded.
     texts = documents.select("doc_id", "text").where(F.col("text").isNotNull())
-    return texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    ahead = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    sized = found.withColumn("_sum", F.sum(F.octet_length("text").cast("long")).over(ahead)).withColumn("_k", F.count("*").over(ahead))
+    return sized.where((F.col("_sum") <= bytes_a_class) | (F.col("_k") == 1)).select("doc_id", "text", "label")
+
+
+def learnt(sample: DataFrame, names: list[str], train: Callable[[list[tuple]], dict[str, bytes]]) -> dict[str, bytes]:
+    """What ``train`` makes of the rows of a bounded sample, in one task; the driver gets the model only.
+
+    ``train`` takes the rows as tuples of the columns ``names``, in the order of ``doc_id``.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in zip(*(batch.column(n).to_pylist() for n in ("doc_id", *names)), strict=True)]
+        rows.sort(key=lambda r: r[0])
+        made = train([r[1:] for r in rows])
+        yield pa.RecordBatch.from_arrays([pa.array(made.keys(), pa.string()), pa.array(made.values(), pa.binary())], ["name", "value"])
+
+    return {r.name: bytes(r.value) for r in sample.select("doc_id", *names).repartition(1).mapInArrow(work, "name string, value binary").collect()}
