@@ -145,9 +145,10 @@ def identity(reviewed: DataFrame, texts: DataFrame, allow_unverified: bool = Fal
     return both.select("doc_id", outcome.alias("identity")).withColumn("accepted", (F.col("identity") == "match") | ((F.col("identity") == "unverified") & F.lit(allow_unverified)))
 
 
-def exit_codes(status: DataFrame) -> DataFrame:
-    """One row: 1 if anything failed, else 3 if anything is incomplete, else 0."""
-    return status.agg(F.when(F.coalesce(F.bool_or("failed"), F.lit(False)), 1).when(F.coalesce(F.bool_or("incomplete"), F.lit(False)), 3).otherwise(0).alias("exit_code"))
+def exit_codes(status: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """One row, or one for each group of ``by``: 1 if anything failed, else 3 if anything is incomplete, else 0."""
+    code = F.when(F.coalesce(F.bool_or("failed"), F.lit(False)), 1).when(F.coalesce(F.bool_or("incomplete"), F.lit(False)), 3).otherwise(0)
+    return status.groupBy(*(by or [])).agg(code.alias("exit_code"))
 
 
 def output_collisions(plan: DataFrame) -> DataFrame:

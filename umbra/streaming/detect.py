@@ -17,10 +17,13 @@ def detect_stream(texts: DataFrame, config: RunConfig | None = None) -> DataFram
 
 
 def redact_stream(texts: DataFrame, path: str, checkpoint: str, config: RunConfig | None = None) -> StreamingQuery:
-    """Masked lines of a stream, appended to ``path``; the rules that look at a whole page run on each micro-batch."""
+    """Masked lines of a stream below ``path``; the rules that look at a whole page run on each micro-batch.
 
-    def step(batch: DataFrame, _: int) -> None:
-        run(batch, config).masked.write.mode("append").parquet(path)
+    Each batch has a folder of its own, which a batch that is run again after a failure replaces, so no line comes twice.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        run(batch, config).masked.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return texts.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
