@@ -2,6 +2,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -60,6 +61,8 @@ def test_l1_leaves_few_weights():
 def plain_ftrl(rows, share):
     """FTRL-proximal as published, one coordinate after the other."""
     op, z, n, order = op3_toxicity, {}, {}, []
+    often = Counter(i for places, _ in rows for i in places)
+    rows = [([i for i in places if often[i] >= op.LEAST_ROWS], y) for places, y in rows]
     for epoch in range(op.EPOCHS):
         order += list(np.random.default_rng(epoch).permutation(len(rows)))
 
@@ -90,7 +93,7 @@ def test_ftrl_against_a_plain_version():
     rows = []
     for _ in range(150):
         y = int(rng.random() < 0.4)
-        rows.append((sorted({rng.randrange(40) for _ in range(6)} | ({100 + rng.randrange(3)} if rng.random() < (0.9 if y else 0.1) else set())), y))
+        rows.append((sorted({rng.randrange(40) for _ in range(6)} | {1000 + rng.randrange(400)} | ({100 + rng.randrange(3)} if rng.random() < (0.9 if y else 0.1) else set())), y))
     bias, at, weights = op3_toxicity.train([(np.array(a, np.int32), y) for a, y in rows], 0.1)
     want_bias, want = plain_ftrl(rows, 0.1)
     assert abs(bias - want_bias) < 1e-3 and set(at.tolist()) == set(want) and len(want) >= 2

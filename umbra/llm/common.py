@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from umbra.plans.storage import cut as cut
 
 #: Bytes of the texts of one class that a model learns from at most.
-SAMPLE_BYTES = 12 << 20
+SAMPLE_BYTES = 8 << 20
 #: A key of more than this part of the rows is hot, so there are at most as many hot keys.
 HOT = 500
 

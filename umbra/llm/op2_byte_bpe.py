@@ -26,11 +26,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from umbra.llm.common import table
+from umbra.llm.common import slices, table
 
 #: Entries a worker remembers for each of its two caches and generations, and the characters of the longest key among
 #: them, so that its memory is bounded.
-REMEMBERED, LONGEST = 150_000, 64
+REMEMBERED, LONGEST = 100_000, 64
 #: Leaves of the segment trees that are merged in step, and the number of trees from which that is worth it.
 TOGETHER, LEAST_TOGETHER = 1 << 17, 24
 #: A vocabulary file larger than this is refused rather than broadcast.
@@ -114,8 +114,8 @@ class PairRanks:
                     right.append(b)
                     joined.append(rank)
         keys, joined = self._key(np.array(left, np.int64), np.array(right, np.int64)), np.array(joined, np.int64)
-        self.bits = max(4, (4 * len(keys)).bit_length())
-        self.keys, self.ranks = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int64)
+        self.bits = max(4, (2 * len(keys)).bit_length())
+        self.keys, self.ranks = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
         at = self._slot(keys)
         while len(keys):
             free = self.keys[at] == -1
@@ -229,6 +229,9 @@ class _Memory:
         self.add(older)
         return found, rest.difference(older)
 
+    def forget(self) -> None:
+        self.new, self.old = {}, {}
+
     def add(self, values: dict[str, bytes]) -> None:
         if len(self.new) >= REMEMBERED:
             self.old, self.new = self.new, {}
@@ -249,6 +252,11 @@ class Codec:
         self.between = regex.compile(r"(?<=\S) (?=\S)").split
         self.spaced = all(x in pattern for x in (r" ?\p{L}+", r" ?\p{N}+", r" ?[^\s\p{L}\p{N}]+", r"\s+(?!\S)"))
 
+    def forget(self) -> None:
+        """Drops what was remembered, as a worker may stay idle beside other stages' tasks."""
+        for memory in (self.pieces, *self.runs.values()):
+            memory.forget()
+
     def _words(self, text: str) -> list[str]:
         """``text`` cut where a space opens a match; that space is left out."""
         if not self.spaced:
@@ -333,11 +341,12 @@ def _with_binaries(df: DataFrame, path: str, pattern: str, names: list[str], ste
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value, pattern)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+        try:
+            for batch in slices(batches):
                 made = step(codec, batch)
                 yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in kept), *(pa.array(x, pa.binary()) for x in made)], [*kept, *names])
+        finally:
+            codec.forget()
 
     return df.mapInArrow(work, schema)
 

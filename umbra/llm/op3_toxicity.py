@@ -26,6 +26,8 @@ from umbra.llm.text_hashes import Remembered, mix, stem_and_word
 BITS = 24
 #: Labelled rows of each class that training may use at most.
 PER_CLASS = 3_000
+#: Rows of the sample that a feature must stand in.
+LEAST_ROWS = 2
 #: The L1 term is high, so that a feature must recur in many rows to get a weight. These were chosen by cross-validation
 #: over rows outside the held-out fifth.
 ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 4.0, 0.1, 6
@@ -51,7 +53,11 @@ def train(rows: list[tuple[np.ndarray, int]], share: float | None = None) -> tup
     """(intercept, places, weights) after ``EPOCHS`` passes; ``share``: of label 1 among all labelled rows."""
     if not rows or len({y for _, y in rows}) < 2:
         return -30.0, np.empty(0, np.int32), np.empty(0, np.float32)
-    z, n = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32)
+    # Only features of several rows can tell about others; they get places side by side.
+    known, often = np.unique(np.concatenate([at for at, _ in rows]), return_counts=True)
+    known = known[often >= LEAST_ROWS]
+    rows = [(_found(known, at).astype(np.int32), y) for at, y in rows]
+    z, n = np.zeros(len(known), np.float32), np.zeros(len(known), np.float32)
     bias_z = bias_n = 0.0
     for epoch in range(EPOCHS):
         for k in np.random.default_rng(epoch).permutation(len(rows)):
@@ -72,7 +78,16 @@ def train(rows: list[tuple[np.ndarray, int]], share: float | None = None) -> tup
     seen = sum(y for _, y in rows) / len(rows)
     if share is not None and 0 < share < 1:
         bias += math.log(share / (1 - share)) - math.log(seen / (1 - seen))
-    return float(bias), at, w.astype(np.float32)
+    return float(bias), known[at], w.astype(np.float32)
+
+
+def _found(known: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where the ones of ``at`` that are known stand."""
+    if not len(known):
+        return np.empty(0, np.int64)
+    k = np.searchsorted(known, at)
+    k[k == len(known)] = 0
+    return k[known[k] == at]
 
 
 def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> tuple[float, np.ndarray, np.ndarray]:
