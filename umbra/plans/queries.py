@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from umbra.functions import geometry as G
 from umbra.functions import text as T
 from umbra.functions import validators as V
-from umbra.operators import booking, conflict, effects, leaks, lines, mask, patterns
+from umbra.operators import booking, conflict, effects, leaks, lines, mask, patterns, summary
 from umbra.plans import redaction
 from umbra.plans.storage import cut
 from umbra.sources.runs import page_boxes, text_runs
@@ -697,6 +697,16 @@ def pdf_redact(spark, sf_dir):
     """Every benchmark text as a PDF file without its first line: what was removed, and what a second reading finds."""
     from umbra.sources import pdf
 
+    files = _redacted_items(spark, sf_dir)
+    texts = pdf.glyph_rows(files.select("path", "content")).where("kind = 'glyph'").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("seq", "ch"))).alias("xs"))
+    read = files.select("path", "removed").join(texts, "path", "left")
+    return read.select(F.col("path").cast("long").alias("item_id"), "removed", F.coalesce(F.array_join(F.transform("xs", lambda x: x["ch"]), ""), F.lit("")).alias("left_text"))
+
+
+def _redacted_items(spark, sf_dir):
+    """(path, content, removed): files of the benchmark's texts without their first lines."""
+    from umbra.sources import pdf
+
     def made(batches):
         import pyarrow as pa
 
@@ -708,10 +718,7 @@ def pdf_redact(spark, sf_dir):
                 out.append(pdf.redact(data, [(0, 0.0, 776.0, 100_000.0, 792.0)]))
             yield pa.RecordBatch.from_arrays([pa.array(map(str, batch.column("item_id").to_pylist())), pa.array([o for o, _ in out], pa.binary()), pa.array([sum(n) for _, n in out], pa.int64())], ["path", "content", "removed"])
 
-    files = table(spark, sf_dir, "benchmark").select("item_id", "text").mapInArrow(made, "path string, content binary, removed long")
-    texts = pdf.glyph_rows(files.select("path", "content")).where("kind = 'glyph'").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("seq", "ch"))).alias("xs"))
-    read = files.select("path", "removed").join(texts, "path", "left")
-    return read.select(F.col("path").cast("long").alias("item_id"), "removed", F.coalesce(F.array_join(F.transform("xs", lambda x: x["ch"]), ""), F.lit("")).alias("left_text"))
+    return table(spark, sf_dir, "benchmark").select("item_id", "text").mapInArrow(made, "path string, content binary, removed long")
 
 
 # ---------------------------------------------------------------- other carriers
@@ -770,3 +777,81 @@ def capped_notes(spark, sf_dir):
     notes = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("text"))
     out = carriers.capped_list(notes)
     return out.select(F.col("doc_id").alias("user_id"), F.size("notes").alias("shown"), F.when(F.size("notes") > 50, F.element_at("notes", -1)).alias("last"))
+
+
+# ---------------------------------------------------------------- accounts of a run
+
+_ZIG = "CAST(p_partkey * 37 % 500 AS DOUBLE) AS llx, CAST(p_partkey * 53 % 700 AS DOUBLE) AS lly, CAST(p_partkey * 37 % 500 + p_size AS DOUBLE) AS urx, CAST(p_partkey * 53 % 700 + p_size % 7 AS DOUBLE) AS ury"
+
+
+def _zig(spark, sf_dir):
+    """Parts as rectangles on ten pages, one in fifty of them unusable."""
+    parts = table(spark, sf_dir, "part").selectExpr("p_partkey AS seq", "p_partkey % 10 AS page", *_ZIG.split(", "))
+    return parts.withColumn("llx", F.when(F.col("seq") % 50 == 0, F.lit(NAN)).otherwise(F.col("llx")))
+
+
+@query(f"SELECT page, MIN(llx) AS llx, MIN(lly) AS lly, MAX(urx) AS urx, MAX(ury) AS ury FROM (SELECT p_partkey AS seq, p_partkey % 10 AS page, {_ZIG} FROM part) WHERE seq % 50 <> 0 GROUP BY page")
+def geo_hull(spark, sf_dir):
+    return summary.hull(_zig(spark, sf_dir), ["page"])
+
+
+@query(f"WITH z AS (SELECT p_partkey AS seq, p_partkey % 10 AS page, {_ZIG} FROM part WHERE p_partkey % 50 <> 0) SELECT a.page, a.seq, b.seq AS o_seq FROM z a JOIN z b ON a.page = b.page AND a.llx <= b.urx AND b.llx <= a.urx AND a.lly <= b.ury AND b.lly <= a.ury WHERE a.seq % 3 = 0")
+def conflict_touching(spark, sf_dir):
+    z = _zig(spark, sf_dir)
+    return conflict.touching(z.where("seq % 3 = 0"), z, ["page"])
+
+
+@query("SELECT l_suppkey % 20 AS doc_id, l_partkey % 7 AS stream, COUNT(DISTINCT (l_linenumber, l_quantity)) AS glyphs, COUNT(DISTINCT l_linenumber) AS operations FROM lineitem GROUP BY l_suppkey % 20, l_partkey % 7")
+def hidden_once(spark, sf_dir):
+    """Line items as hidden glyphs of streams that are drawn at many places."""
+    li = table(spark, sf_dir, "lineitem").selectExpr("l_suppkey % 20 AS doc_id", "l_partkey % 7 AS stream", "l_orderkey AS placement", "l_linenumber AS op", "l_quantity AS glyph")
+    return summary.hidden_once(li)
+
+
+@query("SELECT DISTINCT o_custkey AS doc_id, o_orderkey AS stream, o_orderpriority AS name, c_nationkey AS object FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')")
+def property_homes(spark, sf_dir):
+    uses = table(spark, sf_dir, "orders").selectExpr("o_custkey AS doc_id", "o_orderkey AS stream", "o_custkey % 3 AS owner", "o_orderpriority AS name")
+    names = F.explode(F.array(F.lit("1-URGENT"), F.lit("2-HIGH")))
+    known = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), (F.col("c_custkey") % 3).alias("owner"), names.alias("name"), F.col("c_nationkey").alias("object"))
+    return summary.property_homes(uses, known)
+
+
+_KEPT_SQL = f"(SELECT doc_id, page, seq FROM {_LEFT} x WHERE NOT EXISTS (SELECT 1 FROM {_OTHER} WHERE d = doc_id AND p = page AND k = kind AND r = ref AND m IS NOT DISTINCT FROM match_type AND c IS NOT DISTINCT FROM confidence AND (o_llx < llx OR (o_llx = llx AND s < seq)) AND {_SQL_COVER} >= 0.999))"
+_OUTCOME_SQL = f"(SELECT doc_id, page, seq, CASE WHEN seq = 4 THEN 'disabled' WHEN (doc_id, page, seq) IN (SELECT doc_id, page, seq FROM {_KEPT_SQL}) THEN CASE WHEN page >= 1 THEN 'missing_page' ELSE 'redacted' END WHEN (doc_id, page, seq) IN (SELECT doc_id, page, seq FROM {_BLOCKED_SQL}) THEN 'blocked' ELSE 'duplicate' END AS outcome FROM {_CANDS})"
+
+
+def _outcomes(spark):
+    regions = _layout(spark)
+    kept, blocked = conflict.resolve(regions)
+    effect = kept.select("doc_id", "page", "seq", F.when(F.col("page") >= 1, "missing_page").otherwise("applied").alias("effect"))
+    return summary.outcomes(regions, kept, blocked, effect, regions.where("seq = 4"))
+
+
+@query("SELECT " + ", ".join(f"COUNT(*) FILTER (WHERE outcome = '{o}') AS {o}" for o in summary.OUTCOMES) + f", COUNT(*) AS hits FROM {_OUTCOME_SQL}")
+def hit_summary(spark, sf_dir):
+    return summary.hit_summary(_outcomes(spark))
+
+
+@query(f"SELECT doc_id, page, COUNT(*) FILTER (WHERE outcome = 'redacted') AS redactions FROM {_OUTCOME_SQL} GROUP BY doc_id, page")
+def redactions_per_page(spark, sf_dir):
+    return summary.redactions_per_page(_outcomes(spark))
+
+
+@query("SELECT vec_id, len(list_filter(embedding, lambda v: CAST(floor(abs(v) * 10000) AS BIGINT) % 256 < 255)) / len(embedding) AS ratio FROM embeddings")
+def non_white_ratio(spark, sf_dir):
+    px = F.transform("embedding", lambda v: F.floor(F.abs(v) * 10000) % 256)
+    return table(spark, sf_dir, "embeddings").select("vec_id", summary.non_white_ratio(px).alias("ratio"))
+
+
+_PDF_NEEDLES = ["the", "ción", "er er", "Of", "that and", "ÖÄ"]
+_PDF_NEEDLE_TABLE = _values("k, needle", list(enumerate(_PDF_NEEDLES)))
+_PDF_LEFT = f"(SELECT item_id, coalesce(string_agg(l, '' ORDER BY k) FILTER (WHERE k > 0), '') AS t FROM {_ITEM_LINES} GROUP BY item_id)"
+
+
+@query(f"SELECT item_id, CAST(k AS INTEGER) AS needle_id, contains(t, needle) AS literal FROM {_PDF_LEFT}, {_PDF_NEEDLE_TABLE} WHERE contains(t, needle) OR (contains(needle, ' ') AND contains(replace(t, ' ', ''), replace(needle, ' ', '')))")
+def pdf_leaks(spark, sf_dir):
+    """What the drawn text of redacted benchmark files still holds, among all views of the files."""
+    from umbra.sources import pdf_carriers
+
+    found = pdf_carriers.search(_redacted_items(spark, sf_dir).select("path", "content"), _PDF_NEEDLES)
+    return found.where(F.col("view") == leaks.DECODED).select(F.col("carrier_id").cast("long").alias("item_id"), "needle_id", "literal")
