@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from umbra.functions import geometry as G
 from umbra.functions.text import fold
 
 #: By how much a colour key's range is widened before samples are counted in it.
 KEY_MARGIN = 24
+#: Parts of a document's notes from which the first ones are taken.
+PARTS = 64
 
 
 def split_annotations(annotations: DataFrame, regions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -75,8 +78,16 @@ def misread_streams(loaded: DataFrame, raw: DataFrame) -> DataFrame:
 
 
 def capped_list(notes: DataFrame, most: int = 50) -> DataFrame:
-    """(doc_id, notes): the first ``most`` notes (doc_id, seq, text) and a line for the rest. The cap is the feature."""
-    whole = notes.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("xs"))
+    """(doc_id, notes): the first ``most`` notes (doc_id, seq, text) and a line for the rest. The cap is the feature.
+
+    The first of each part of a document's notes are taken, then the first of these, so that no task gets all of one.
+    """
+    order = ["seq", "text"]
+    parts = notes.withColumn("part", F.pmod(F.xxhash64("seq", "text"), F.lit(PARTS)))
+    first = parts.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "part").orderBy(*order))).where(F.col("k") <= most)
+    first = first.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))).where(F.col("k") <= most)
+    listed = first.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("xs"))
+    whole = listed.join(notes.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id")
     texts = F.transform("xs", lambda x: x["text"])
-    rest = F.array(F.concat(F.lit("and "), (F.size("xs") - most).cast("string"), F.lit(" more")))
-    return whole.select("doc_id", F.when(F.size("xs") > most, F.concat(F.slice(texts, 1, most), rest)).otherwise(texts).alias("notes"))
+    rest = F.array(F.concat(F.lit("and "), (F.col("n") - most).cast("string"), F.lit(" more")))
+    return whole.select("doc_id", F.when(F.col("n") > most, F.concat(texts, rest)).otherwise(texts).alias("notes"))

@@ -32,7 +32,8 @@ def query(sql: str | None = None):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["detect_by_lang"](spark, sf_dir)
+    """The default run: hits of all patterns that are on."""
+    return QUERIES["pat_default_run"](spark, sf_dir)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
