@@ -32,8 +32,8 @@ def query(sql: str | None = None):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The default run: hits of all patterns that are on."""
-    return QUERIES["pat_default_run"](spark, sf_dir)
+    """The default run: hits of all patterns that are on, by language and pattern."""
+    return _by_lang(spark, sf_dir, None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -239,8 +239,12 @@ _DEFAULT_HITS = f"""(SELECT doc_id, 'email' AS pattern_id FROM {_EMAIL_HITS} UNI
 
 @query(f"SELECT lang, pattern_id, COUNT(*) AS hits, COUNT(DISTINCT doc_id) AS docs FROM {_DEFAULT_HITS} JOIN documents USING (doc_id) WHERE pattern_id IN ('email', 'credit_card') GROUP BY lang, pattern_id")
 def detect_by_lang(spark, sf_dir):
+    return _by_lang(spark, sf_dir, patterns.select(["credit_card", "email"]))
+
+
+def _by_lang(spark, sf_dir, wanted):
     docs = table(spark, sf_dir, "documents")
-    found = patterns.find(text_runs(docs.select("doc_id", "text")), patterns.select(["credit_card", "email"]))
+    found = patterns.find(text_runs(docs.select("doc_id", "text")), wanted)
     return found.join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang", "pattern_id").agg(F.count("*").alias("hits"), F.count_distinct("doc_id").alias("docs"))
 
 
