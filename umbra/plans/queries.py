@@ -860,3 +860,27 @@ def pdf_leaks(spark, sf_dir):
 
     found = pdf_carriers.search(_redacted_items(spark, sf_dir).select("path", "content"), _PDF_NEEDLES)
     return found.where(F.col("view") == leaks.DECODED).select(F.col("carrier_id").cast("long").alias("item_id"), "needle_id", "literal")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS doc_id, CAST(1 AS INTEGER) AS regions, CAST(length(CAST(c_custkey + 100000 AS VARCHAR)) AS BIGINT) AS removed, c_name || ' Kontonummer:' AS left_text, 'gone' AS verdict FROM customer")
+def pdf_run(spark, sf_dir):
+    """Every customer's account number in a PDF file: found on its line, removed from the file, searched for afterwards."""
+    from umbra.plans import files as runs_of_files
+    from umbra.sources import pdf
+
+    def made(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = list(zip(batch.column("c_custkey").to_pylist(), batch.column("c_name").to_pylist(), strict=True))
+            data = [pdf.build([[(50.0, 700.0, 10.0, name), (50.0, 660.0, 10.0, f"Kontonummer: {key + 100000}")]]) for key, name in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([str(k) for k, _ in rows], pa.string()), pa.array(data, pa.binary())], ["path", "content"])
+
+    content = cut(table(spark, sf_dir, "customer").select("c_custkey", "c_name").mapInArrow(made, "path string, content binary"))
+    analysis = runs_of_files.analyze(content)
+    done = cut(runs_of_files.redacted(content, analysis.regions))
+    left = runs_of_files.line_runs(pdf.glyph_rows(done.select("path", "content"))).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("run_seq", "text"))).alias("xs"))
+    text = left.select("doc_id", F.array_join(F.transform("xs", lambda x: x["text"]), " ").alias("left_text"))
+    total = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x)
+    counted = done.select(F.col("path").alias("doc_id"), F.size("removed").alias("regions"), total.alias("removed"))
+    return counted.join(text, "doc_id").join(runs_of_files.check(done, analysis).select("doc_id", "verdict"), "doc_id")
