@@ -124,3 +124,13 @@ def test_time_grows_with_the_length():
         begin = time.process_time()
         op.scan_text(text, INDEX)
         assert time.process_time() - begin < 10
+
+
+def test_ties():
+    # Equal shares: of templates of one size both count, else the larger one.
+    index = op.Templates([("a", "one two three four"), ("b", "two three four five"), ("c", "one two three four five six")], {})
+    assert op.scan_text("one two three four five", index)[5] == "a,b,c"
+    assert op.scan_text("one two three four five six", index)[5] == "c"
+    assert op.scan_text("one two three four", index)[5] == "a"
+    twice = op.Templates([("x", "same words here"), ("y", "same words here")], {})
+    assert op.scan_text("same words here", twice)[5] == "x,y"

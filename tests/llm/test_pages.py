@@ -192,3 +192,14 @@ def test_spam_hosts_are_blocked_and_trusted_ones_are_not(spark):
     out = {r.page_id: r for r in trust.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), url="url").collect()}
     assert out[2].verdict == "block" and out[1].verdict == "block" and out[3].verdict == "allow"
     assert out[2].distrust > out[2].trust and out[4].trust > out[4].distrust and out[4].verdict == "allow"
+
+
+def test_long_pages_ties_and_empty_tables(spark):
+    html = "".join(f'<a href="http://h{k}.net/">x</a>' for k in range(30_000))
+    rows = [(1, "http://a.com/x/" + "y" * 200_000, html), (1, "http://a.com/x/" + "y" * 200_000, html), (2, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    twice = [("a.com/x", "block"), ("a.com/x", "allow"), ("com/x", "allow"), ("com/", "block")]
+    out = trust.judge(pages, twice).collect()
+    assert [(r.rule, r.verdict, len(r.path)) for r in out if r.page_id == 1] == [("a.com/x", "block", 200_003)] * 2
+    assert trust.judge(pages.limit(0)).count() == 0 and trust.judge(pages, []).where("verdict <> 'allow'").count() == 0
+    assert op.extract(pages).where("page_id = 1").select("n_chars").first()[0] == 2 * 30_000 - 30_000

@@ -69,6 +69,11 @@ def test_propagation_cuts_few_links(spark):
     assert cut(label(0, len(base))) > 0.8 and cut(label(op.ROUNDS, 2 * len(base))) < 0.01 and cut(label(op.ROUNDS, len(base))) < 0.2
 
 
+def test_long_texts_and_repeated_rows(spark):
+    rows = [(k, "long " * 200_000 if k < 3 else f"t{k}") for k in range(40)] + [(3, "t3")] * 5
+    check(rows, op.assign(spark.createDataFrame(rows, "doc_id long, text string"), shards=4).collect(), 4)
+
+
 def test_few_or_no_rows(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a")], "doc_id long, text string")
     check([(1, "a"), (2, "a")], op.assign(df).collect(), 8)
