@@ -62,7 +62,7 @@ def plain_ftrl(rows, share):
     """FTRL-proximal as published, one coordinate after the other."""
     op, z, n, order = op3_toxicity, {}, {}, []
     often = Counter(i for places, _ in rows for i in places)
-    rows = [([i for i in places if often[i] >= op.LEAST_ROWS], y) for places, y in rows]
+    rows = [([i for i in places if often[i] >= 2], y) for places, y in rows]
     for epoch in range(op.EPOCHS):
         order += list(np.random.default_rng(epoch).permutation(len(rows)))
 

@@ -75,16 +75,16 @@ def sample_of_labels(documents: DataFrame, labels: DataFrame, label: str, per_cl
     return sized.where((F.col("_sum") <= bytes_a_class) | (F.col("_k") == 1)).select("doc_id", "text", "label")
 
 
-def learnt(sample: DataFrame, names: list[str], train: Callable[[list[tuple]], dict[str, bytes]]) -> dict[str, bytes]:
-    """What ``train`` makes of the rows of a bounded sample, in one task; the driver gets the model only.
+def learnt(sample: DataFrame, train: Callable[[list[tuple[int, str]]], dict[str, bytes]]) -> dict[str, bytes]:
+    """What ``train`` makes of a bounded sample's (label, text) pairs, in one task; the driver gets the model only.
 
-    ``train`` takes the rows as tuples of the columns ``names``, in the order of ``doc_id``.
+    The pairs come in the order of ``doc_id``.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for batch in batches for r in zip(*(batch.column(n).to_pylist() for n in ("doc_id", *names)), strict=True)]
+        rows = [r for batch in batches for r in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "label", "text")), strict=True)]
         rows.sort(key=lambda r: r[0])
         made = train([r[1:] for r in rows])
         yield pa.RecordBatch.from_arrays([pa.array(made.keys(), pa.string()), pa.array(made.values(), pa.binary())], ["name", "value"])
 
-    return {r.name: bytes(r.value) for r in sample.select("doc_id", *names).repartition(1).mapInArrow(work, "name string, value binary").collect()}
+    return {r.name: bytes(r.value) for r in sample.select("doc_id", "label", "text").repartition(1).mapInArrow(work, "name string, value binary").collect()}

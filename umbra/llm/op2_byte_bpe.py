@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from umbra.llm.common import slices, table
 
-#: Entries a worker remembers for each of its two caches and generations, and the characters of the longest key among
+#: Entries a worker remembers in each of two generations, and the characters of the longest key among
 #: them, so that its memory is bounded.
 REMEMBERED, LONGEST = 100_000, 64
 #: Leaves of the segment trees that are merged in step, and the number of trees from which that is worth it.
@@ -229,6 +229,9 @@ class _Memory:
         self.add(older)
         return found, rest.difference(older)
 
+    def get(self, key: str) -> bytes | None:
+        return self.new.get(key) or self.old.get(key)
+
     def forget(self) -> None:
         self.new, self.old = {}, {}
 
@@ -246,7 +249,7 @@ class Codec:
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.find = regex.compile(pattern).findall
         self.pairs = PairRanks(self.ranks)
-        self.pieces, self.runs = _Memory(), {"": _Memory(), " ": _Memory()}
+        self.runs = {"": _Memory(), " ": _Memory()}
         # Between two characters that are not white space, a single space always opens a new match of these patterns.
         self.spaces = [c for c in map(chr, range(0x3001)) if c.isspace() or regex.match(r"\s", c)]
         self.between = regex.compile(r"(?<=\S) (?=\S)").split
@@ -254,7 +257,7 @@ class Codec:
 
     def forget(self) -> None:
         """Drops what was remembered, as a worker may stay idle beside other stages' tasks."""
-        for memory in (self.pieces, *self.runs.values()):
+        for memory in self.runs.values():
             memory.forget()
 
     def _words(self, text: str) -> list[str]:
@@ -289,10 +292,16 @@ class Codec:
         memory = self.runs[lead]
         found, open_ = memory.known(runs)
         cut = {x: self.find(lead + x) for x in open_}
-        pieces, lacking = self.pieces.known(set(chain.from_iterable(cut.values())))
-        made = self._merged(lacking)
-        self.pieces.add(made)
-        pieces.update(made)
+        # A piece behind a space is a run of its own, so it may be remembered as one.
+        spaced = self.runs[" "]
+        pieces, lacking = {}, set()
+        for x in set(chain.from_iterable(cut.values())):
+            ids = spaced.get(x[1:]) if x[0] == " " and self.spaced else None
+            if ids is None:
+                lacking.add(x)
+            else:
+                pieces[x] = ids
+        pieces.update(self._merged(lacking))
         made = {x: b"".join(map(pieces.__getitem__, some)) for x, some in cut.items()}
         memory.add(made)
         found.update(made)

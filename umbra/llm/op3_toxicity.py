@@ -26,8 +26,6 @@ from umbra.llm.text_hashes import Remembered, mix, stem_and_word
 BITS = 24
 #: Labelled rows of each class that training may use at most.
 PER_CLASS = 3_000
-#: Rows of the sample that a feature must stand in.
-LEAST_ROWS = 2
 #: The L1 term is high, so that a feature must recur in many rows to get a weight. These were chosen by cross-validation
 #: over rows outside the held-out fifth.
 ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 4.0, 0.1, 6
@@ -54,8 +52,11 @@ def train(rows: list[tuple[np.ndarray, int]], share: float | None = None) -> tup
     if not rows or len({y for _, y in rows}) < 2:
         return -30.0, np.empty(0, np.int32), np.empty(0, np.float32)
     # Only features of several rows can tell about others; they get places side by side.
-    known, often = np.unique(np.concatenate([at for at, _ in rows]), return_counts=True)
-    known = known[often >= LEAST_ROWS]
+    once, again = np.zeros(1 << BITS, bool), np.zeros(1 << BITS, bool)
+    for at, _ in rows:
+        again[at] |= once[at]
+        once[at] = True
+    known = np.flatnonzero(again).astype(np.int32)
     rows = [(_found(known, at).astype(np.int32), y) for at, y in rows]
     z, n = np.zeros(len(known), np.float32), np.zeros(len(known), np.float32)
     bias_z = bias_n = 0.0
@@ -93,25 +94,23 @@ def _found(known: np.ndarray, at: np.ndarray) -> np.ndarray:
 def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> tuple[float, np.ndarray, np.ndarray]:
     """The model learnt from at most ``2 * per_class`` labelled rows outside the held-out fifth."""
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _WORDS.during(slices(batches)):
-            made = [features(x).tobytes() for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(made, pa.binary())], ["doc_id", "label", "at"])
-
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id")))
     share = usable.agg(F.avg(F.col(label).cast("double"))).first()[0]
 
-    def trained(rows: list[tuple]) -> dict[str, bytes]:
-        bias, at, weights = train([(np.frombuffer(x, np.int32), y) for y, x in rows], share)
+    def trained(rows: list[tuple[int, str]]) -> dict[str, bytes]:
+        try:
+            bias, at, weights = train([(features(text), y) for y, text in rows], share)
+        finally:
+            _WORDS.clear()
         return {"bias": np.float64(bias).tobytes(), "at": at.tobytes(), "weights": weights.tobytes()}
 
-    sample = sample_of_labels(documents, labels, label, per_class)
-    schema = sample.select("doc_id").schema.add("label", "integer").add("at", "binary")
-    made = learnt(sample.select("doc_id", "label", "text").mapInArrow(hashed, schema), ["label", "at"], trained) or trained([])
+    made = learnt(sample_of_labels(documents, labels, label, per_class), trained) or trained([])
     return float(np.frombuffer(made["bias"], np.float64)[0]), np.frombuffer(made["at"], np.int32), np.frombuffer(made["weights"], np.float32)
 
 
 class Scorer:
+    """Scores of single texts."""
+
     def __init__(self, bias: float, at: np.ndarray, weights: np.ndarray):
         self.bias, self.at, self.weights = bias, at, weights
         self.maybe = np.zeros(1 << 20, bool)

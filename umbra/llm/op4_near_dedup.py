@@ -34,7 +34,6 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -167,7 +166,8 @@ def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return common
 
 
-def _sides(tile: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+def _sides(tile):
+    """The rows and columns of a tile (a pandas table; pandas is loaded by the tiles' workers only)."""
     return tuple(tile[tile.side == k].drop_duplicates("id") for k in (0, 1))
 
 
@@ -175,7 +175,7 @@ def _tile_candidates(similarity: Fraction):
     """The documents of a tile whose sketches allow a link with one of another component on the other side."""
     p, q, least = similarity.numerator, similarity.denominator, least_shared(similarity)
 
-    def work(tile: pd.DataFrame) -> pd.DataFrame:
+    def work(tile):
         rows, cols = _sides(tile)
         if not len(rows) or not len(cols):
             return tile.drop(columns="sketch").head(0)
@@ -185,6 +185,8 @@ def _tile_candidates(similarity: Fraction):
         n, m = rows.n.to_numpy()[:, None], cols.n.to_numpy()[None, :]
         fits = np.minimum(n, m) * q >= np.maximum(n, m) * p
         passed = ((common >= least) | (union < SKETCH)) & fits & (rows.component.to_numpy()[:, None] != cols.component.to_numpy()[None, :])
+        import pandas as pd
+
         return pd.concat([rows[passed.any(axis=1)], cols[passed.any(axis=0)]]).drop(columns="sketch")
 
     return work
@@ -194,7 +196,7 @@ def _tile_links(similarity: Fraction):
     """Links between components on a tile's two sides, but only those that join something."""
     p, q = similarity.numerator, similarity.denominator
 
-    def work(tile: pd.DataFrame) -> pd.DataFrame:
+    def work(tile):
         rows, cols = _sides(tile)
         out = []
         if len(rows) and len(cols):
@@ -213,6 +215,8 @@ def _tile_links(similarity: Fraction):
                 if x != y:
                     root[max(x, y)] = min(x, y)
                     out.append((rows.id.iat[i], cols.id.iat[j]))
+        import pandas as pd
+
         return pd.DataFrame(out, columns=["a", "b"])
 
     return work

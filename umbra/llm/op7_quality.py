@@ -103,22 +103,17 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], grades: int) -> tuple[
 def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", grades: int = 2, per_class: int = PER_CLASS) -> tuple[np.ndarray, np.ndarray] | None:
     """The model learnt from at most ``grades * per_class`` rows outside the held-out fifth; None without two grades."""
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _WORDS.during(slices(batches)):
-            made = [features(x) for x in batch.column("text").to_pylist()]
-            arrays = [pa.array([m[k].tobytes() for m in made], pa.binary()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *arrays], ["doc_id", "label", "at", "x"])
-
-    def trained(rows: list[tuple]) -> dict[str, bytes]:
-        if len({y for y, *_ in rows}) < 2:
+    def trained(rows: list[tuple[int, str]]) -> dict[str, bytes]:
+        if len({y for y, _ in rows}) < 2:
             return {}
-        edges, w = train([(np.frombuffer(at, np.int32), np.frombuffer(x, np.float32), y) for y, at, x in rows], grades)
+        try:
+            edges, w = train([(*features(text), y) for y, text in rows], grades)
+        finally:
+            _WORDS.clear()
         used = np.flatnonzero(w).astype(np.int32)
         return {"edges": edges.tobytes(), "at": used.tobytes(), "weights": w[used].astype(np.float32).tobytes()}
 
-    sample = sample_of_labels(documents, labels, label, per_class, grades)
-    schema = sample.select("doc_id").schema.add("label", "integer").add("at", "binary").add("x", "binary")
-    made = learnt(sample.select("doc_id", "label", "text").mapInArrow(hashed, schema), ["label", "at", "x"], trained)
+    made = learnt(sample_of_labels(documents, labels, label, per_class, grades), trained)
     if not made:
         return None
     w = np.zeros(1 << BITS, np.float32)
