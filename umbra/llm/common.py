@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from umbra.llm.text_hashes import give_back
 from umbra.plans.storage import cut as cut
 
 #: Bytes of the texts of one class that a model learns from at most.
@@ -85,6 +86,8 @@ def learnt(sample: DataFrame, train: Callable[[list[tuple[int, str]]], dict[str,
         rows = [r for batch in batches for r in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "label", "text")), strict=True)]
         rows.sort(key=lambda r: r[0])
         made = train([r[1:] for r in rows])
+        rows.clear()
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array(made.keys(), pa.string()), pa.array(made.values(), pa.binary())], ["name", "value"])
 
     return {r.name: bytes(r.value) for r in sample.select("doc_id", "label", "text").repartition(1).mapInArrow(work, "name string, value binary").collect()}

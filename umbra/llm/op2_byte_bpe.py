@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from umbra.llm.common import slices, table
+from umbra.llm.text_hashes import give_back
 
 #: Entries a worker remembers in each of two generations, and the characters of the longest key among
 #: them, so that its memory is bounded.
@@ -356,6 +357,7 @@ def _with_binaries(df: DataFrame, path: str, pattern: str, names: list[str], ste
                 yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in kept), *(pa.array(x, pa.binary()) for x in made)], [*kept, *names])
         finally:
             codec.forget()
+            give_back()
 
     return df.mapInArrow(work, schema)
 

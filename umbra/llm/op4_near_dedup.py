@@ -46,7 +46,7 @@ from umbra.llm.text_hashes import Remembered, mix
 
 SKETCH, LONG, BLOCK = 48, 64, 1024
 #: Values that a tile's matrix holds at a time, and those of the sets on a side of a tile.
-COLUMNS, TILE_VALUES = 4_096, 800_000
+COLUMNS, TILE_VALUES = 2_048, 800_000
 #: The part of linked pairs that a filter on sketches may miss at most.
 MISSED = 1e-9
 #: Ids up to this number (16 MB) are broadcast, more are joined by a shuffle.

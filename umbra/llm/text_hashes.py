@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import os
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 #: Words a worker remembers before it starts anew, some 200 bytes each.
 REMEMBERED = 150_000
@@ -20,6 +24,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def give_back() -> None:
+    """Hands what a task has freed back to the system, as its worker may stay idle beside other stages' tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
+    if trim:  # glibc only
+        trim(0)
+
+
 class Remembered(dict):
     """Values of words, made when a word is first met."""
 
@@ -42,6 +55,7 @@ class Remembered(dict):
             yield from batches
         finally:
             self.clear()
+            give_back()
 
 
 def crc(text: str) -> int:
