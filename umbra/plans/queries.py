@@ -884,3 +884,26 @@ def pdf_run(spark, sf_dir):
     total = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x)
     counted = done.select(F.col("path").alias("doc_id"), F.size("removed").alias("regions"), total.alias("removed"))
     return counted.join(text, "doc_id").join(runs_of_files.check(done, analysis).select("doc_id", "verdict"), "doc_id")
+
+
+# ---------------------------------------------------------------- the same rules over whole tables
+
+_NOTE_SQL = f"(SELECT p_partkey AS annotation, p_partkey % 10 AS page, {_ZIG} FROM part)"
+_ZONE_SQL = "(SELECT s_suppkey % 10 AS page, CAST(s_suppkey * 13 % 500 AS DOUBLE) AS llx, CAST(s_suppkey * 29 % 700 AS DOUBLE) AS lly, CAST(s_suppkey * 13 % 500 + 40 AS DOUBLE) AS urx, CAST(s_suppkey * 29 % 700 + 25 AS DOUBLE) AS ury FROM supplier)"
+
+
+@query(f"SELECT annotation, NOT EXISTS (SELECT 1 FROM {_ZONE_SQL} z WHERE z.page = a.page AND a.annotation % 50 <> 0 AND a.llx < z.urx AND z.llx < a.urx AND a.lly < z.ury AND z.lly < a.ury) AS kept FROM {_NOTE_SQL} a")
+def annotations_split_items(spark, sf_dir):
+    """Parts as annotations and suppliers as regions of one document."""
+    from umbra.operators import carriers
+
+    zones = table(spark, sf_dir, "supplier").selectExpr("0 AS doc_id", "s_suppkey % 10 AS page", "CAST(s_suppkey * 13 % 500 AS DOUBLE) AS llx", "CAST(s_suppkey * 29 % 700 AS DOUBLE) AS lly", "CAST(s_suppkey * 13 % 500 + 40 AS DOUBLE) AS urx", "CAST(s_suppkey * 29 % 700 + 25 AS DOUBLE) AS ury")
+    notes = _zig(spark, sf_dir).withColumnRenamed("seq", "annotation").withColumn("doc_id", F.lit(0))
+    kept, removed = carriers.split_annotations(notes, zones)
+    return kept.select("annotation", F.lit(True).alias("kept")).union(removed.select("annotation", F.lit(False).alias("kept")))
+
+
+@query("SELECT output, COUNT(*) > 1 AS collides, output IN (SELECT c_name FROM customer) AS over_input FROM (SELECT CASE WHEN c_custkey % 5 = 0 THEN 'Customer#' || lpad(CAST(c_custkey // 7 AS VARCHAR), 9, '0') ELSE c_name || '_out' END AS output FROM customer) GROUP BY output")
+def batch_collisions_customers(spark, sf_dir):
+    output = F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit("Customer#"), F.lpad(F.floor(F.col("c_custkey") / 7).cast("string"), 9, "0"))).otherwise(F.concat("c_name", F.lit("_out")))
+    return effects.output_collisions(table(spark, sf_dir, "customer").select(F.col("c_name").alias("input"), output.alias("output"))).select("output", "collides", "over_input")
