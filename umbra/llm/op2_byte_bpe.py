@@ -31,7 +31,9 @@ from umbra.llm.text_hashes import give_back
 
 #: Entries a worker remembers in each of two generations, and the characters of the longest key among
 #: them, so that its memory is bounded.
-REMEMBERED, LONGEST = 100_000, 64
+REMEMBERED, LONGEST = 60_000, 64
+#: Rows that are encoded together: the more, the fewer words are met again, but all their words are held at a time.
+ROWS = 1000
 #: Leaves of the segment trees that are merged in step, and the number of trees from which that is worth it.
 TOGETHER, LEAST_TOGETHER = 1 << 17, 24
 #: A vocabulary file larger than this is refused rather than broadcast.
@@ -352,7 +354,7 @@ def _with_binaries(df: DataFrame, path: str, pattern: str, names: list[str], ste
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value, pattern)
         try:
-            for batch in slices(batches):
+            for batch in slices(batches, ROWS):
                 made = step(codec, batch)
                 yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in kept), *(pa.array(x, pa.binary()) for x in made)], [*kept, *names])
         finally:
