@@ -32,8 +32,9 @@ from umbra.llm.text_hashes import give_back
 #: Entries a worker remembers in each of two generations, and the characters of the longest key among
 #: them, so that its memory is bounded.
 REMEMBERED, LONGEST = 60_000, 64
-#: Rows that are encoded together: the more, the fewer words are met again, but all their words are held at a time.
-ROWS = 1000
+#: Rows that are encoded together: the more, the fewer words are met again, but all their words are held at a time. The
+#: query takes more, as it has its workers for itself.
+ROWS, QUERY_ROWS = 500, 1000
 #: Leaves of the segment trees that are merged in step, and the number of trees from which that is worth it.
 TOGETHER, LEAST_TOGETHER = 1 << 17, 24
 #: A vocabulary file larger than this is refused rather than broadcast.
@@ -339,7 +340,7 @@ def _codec(data: bytes, pattern: str) -> Codec:
     return _CODECS[key]
 
 
-def _with_binaries(df: DataFrame, path: str, pattern: str, names: list[str], step) -> DataFrame:
+def _with_binaries(df: DataFrame, path: str, pattern: str, names: list[str], step, rows: int = ROWS) -> DataFrame:
     """``df`` with binary columns ``names``, made by ``step(codec, batch)`` for each batch of rows."""
     with open(path, "rb") as file:
         data = file.read(MAX_VOCABULARY_BYTES + 1)
@@ -354,7 +355,7 @@ def _with_binaries(df: DataFrame, path: str, pattern: str, names: list[str], ste
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value, pattern)
         try:
-            for batch in slices(batches, ROWS):
+            for batch in slices(batches, rows):
                 made = step(codec, batch)
                 yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in kept), *(pa.array(x, pa.binary()) for x in made)], [*kept, *names])
         finally:
@@ -376,20 +377,20 @@ def decode(df: DataFrame, path: str, pattern: str) -> DataFrame:
     return _with_binaries(named, path, pattern, ["decoded"], step).drop("_ids")
 
 
-def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", rows: int = ROWS) -> DataFrame:
     """``encode`` and ``decode`` in one pass over the rows."""
 
     def step(codec: Codec, batch: pa.RecordBatch) -> list[list[bytes]]:
         ids = codec.encode_all([x or "" for x in batch.column(text).to_pylist()])
         return [ids, [codec.decode(x) for x in ids]]
 
-    return _with_binaries(df, path, pattern, ["ids_le", "decoded"], step)
+    return _with_binaries(df, path, pattern, ["ids_le", "decoded"], step, rows)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    coded = round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    coded = round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, rows=QUERY_ROWS)
     return coded.select(
         "doc_id",
         (F.octet_length("ids_le") / 4).cast("long").alias("n_tokens"),
