@@ -753,12 +753,17 @@ def mirrors_to_clear(spark, sf_dir):
     return carriers.mirrors_to_clear(spark.sql(f"SELECT * FROM {_MARKED}"), spark.sql(f"SELECT * FROM {_HIDDEN}")).select("section")
 
 
+def _samples(scale: int):
+    """A vector as samples of eight bits, scaled in its own type: a product of a float and an integer would be a double here."""
+    return F.transform("embedding", lambda v: F.floor(F.abs(v) * F.lit(scale).cast("float")) % 256)
+
+
 @query("SELECT e.vec_id, list_sum(list_transform(range(len(px)), lambda k: CASE WHEN k % 8 < 5 AND k % 8 + 1 > 2 AND k // 8 < 3 AND k // 8 + 1 > 1 THEN 0 ELSE px[k + 1] END))::BIGINT AS total, len(list_filter(px, lambda s: s BETWEEN 50 - 24 AND 60 + 24))::INTEGER AS hidden FROM (SELECT vec_id, list_transform(embedding, lambda v: CAST(floor(abs(v) * 1000) AS BIGINT) % 256) AS px FROM embeddings) e")
 def image_redact(spark, sf_dir):
     """Vectors as images of eight pixels a row: a zone is overwritten, and a colour key's reach is counted."""
     from umbra.operators import carriers
 
-    px = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: F.floor(F.abs(v) * 1000) % 256).alias("px"))
+    px = table(spark, sf_dir, "embeddings").select("vec_id", _samples(1000).alias("px"))
     zone = G.Rect(F.lit(2), F.lit(1), F.lit(5), F.lit(3))
     done = F.aggregate(carriers.overwrite_pixels(F.col("px"), F.lit(8), zone, 0), F.lit(0).cast("long"), lambda n, p: n + p)
     return px.select("vec_id", done.alias("total"), carriers.key_reach(F.col("px"), F.lit(50), F.lit(60)).alias("hidden"))
