@@ -19,7 +19,7 @@ def edges(scale: int, wanted: list[int]) -> list[float]:
     return out
 
 
-@pytest.mark.parametrize(("name", "scale", "wanted"), [("image_redact", 1000, [26, 50, 85, 100, 200, 255, 256])])
+@pytest.mark.parametrize(("name", "scale", "wanted"), [("image_redact", 1000, [26, 50, 85, 100, 200, 255, 256]), ("non_white_ratio", 10000, [255 + 256 * k for k in range(20)])])
 def test_samples_are_scaled_in_single_precision(spark, tmp_path, name, scale, wanted):
     found = edges(scale, wanted)
     assert found

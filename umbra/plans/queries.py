@@ -849,8 +849,7 @@ def redactions_per_page(spark, sf_dir):
 
 @query("SELECT vec_id, len(list_filter(embedding, lambda v: CAST(floor(abs(v) * 10000) AS BIGINT) % 256 < 255)) / len(embedding) AS ratio FROM embeddings")
 def non_white_ratio(spark, sf_dir):
-    px = F.transform("embedding", lambda v: F.floor(F.abs(v) * 10000) % 256)
-    return table(spark, sf_dir, "embeddings").select("vec_id", summary.non_white_ratio(px).alias("ratio"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", summary.non_white_ratio(_samples(10000)).alias("ratio"))
 
 
 _PDF_NEEDLES = ["the", "ción", "er er", "Of", "that and", "ÖÄ"]
