@@ -880,7 +880,9 @@ def pdf_run(spark, sf_dir):
             data = [pdf.build([[(50.0, 700.0, 10.0, name), (50.0, 660.0, 10.0, f"Kontonummer: {key + 100000}")]]) for key, name in rows]
             yield pa.RecordBatch.from_arrays([pa.array([str(k) for k, _ in rows], pa.string()), pa.array(data, pa.binary())], ["path", "content"])
 
-    content = cut(table(spark, sf_dir, "customer").select("c_custkey", "c_name").mapInArrow(made, "path string, content binary"))
+    # A file of customers may be one partition; all that reads and writes their PDF files would then be one task.
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name").repartition(4 * spark.sparkContext.defaultParallelism, "c_custkey")
+    content = cut(customers.mapInArrow(made, "path string, content binary"))
     analysis = runs_of_files.analyze(content)
     done = cut(runs_of_files.redacted(content, analysis.regions))
     left = runs_of_files.line_runs(pdf.glyph_rows(done.select("path", "content"))).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("run_seq", "text"))).alias("xs"))
