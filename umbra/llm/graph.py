@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import cut
+from umbra.plans.storage import step, tidy
 
 MAX_ROUNDS = 60
 
 
+@tidy
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of every node of ``links`` (a, b); the component is its smallest node.
 
     Every round hangs each node's larger neighbours on its smallest one, then does the same for the smaller ones, until
     nothing changes: stars remain. A hub's neighbours are joined to one row of the hub, which Spark can split.
     """
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    edges = step(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None
     for _ in range(MAX_ROUNDS):
         seen = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
@@ -28,7 +29,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = cut(small.where("u <> v").distinct())
+        edges = step(small.where("u <> v").distinct())
     else:
         raise RuntimeError("the components did not settle")
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()

@@ -16,7 +16,8 @@
    gives only the links that join something. So no pairs within a component are made.
 
 Nothing is capped, so no list loses a link. Values and sets of which one has a large part of the rows meet their counts
-by a broadcast of the few that are so frequent, so that no task gets all rows of one.
+by a broadcast of the few that are so frequent, so that no task gets all rows of one. Each step's shuffle files are
+deleted when its result is written, and its result when nothing needs it any more.
 
 Defined cases: a text without words, or null, has an empty set and is linked with nothing; one with fewer words than a
 shingle has its whole sequence as its one shingle; equal texts always share a component; rows of one id count as one
@@ -40,9 +41,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType
 
-from umbra.llm.common import cut, join_counted, slices, table
+from umbra.llm.common import join_counted, slices, table
 from umbra.llm.graph import components
 from umbra.llm.text_hashes import Remembered, mix
+from umbra.plans.storage import release, step, tidy
 
 SKETCH, LONG, BLOCK = 48, 64, 1024
 #: Values that a tile's matrix holds at a time, and those of the sets on a side of a tile.
@@ -110,12 +112,13 @@ def full_sets(documents: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return named.select("id", "text").mapInArrow(work, schema)
 
 
+@tidy
 def _first_values(postings: DataFrame, first: Column) -> DataFrame:
     """(value, id, n) of the values to list: the first ``first`` of an id's values, rarest first, but no single ones.
 
     ``postings``: (value, id, n, retained), n being the size of the set and ``retained`` that of the values' list.
     """
-    shared = cut(postings.groupBy("value").agg(F.count("*").alias("often")).where("often > 1"))
+    shared = step(postings.groupBy("value").agg(F.count("*").alias("often")).where("often > 1"))
     common = join_counted(postings, shared, "value", "often").groupBy("id", "n", "retained").agg(F.array_sort(F.collect_list(F.struct("often", "value"))).alias("values"))
     # Values that only one document has come first in the order and pair with nothing.
     left = first - (F.col("retained") - F.size("values"))
@@ -123,10 +126,12 @@ def _first_values(postings: DataFrame, first: Column) -> DataFrame:
     return listed.select("x.value", "id", "n")
 
 
-def _lists(postings: DataFrame) -> DataFrame:
-    """``postings`` of values that more than one document lists, with the ``first`` id and the ``length`` of the list."""
-    heads = cut(postings.groupBy("value").agg(F.count("*").alias("length"), F.min("id").alias("first")).where("length > 1"))
-    return join_counted(postings, heads, "value", "length")
+@tidy
+def _lists(postings: DataFrame, first: Column) -> DataFrame:
+    """The ``_first_values`` that more than one document lists, with the ``first`` id and the ``length`` of the list."""
+    listed = _first_values(postings, first)
+    heads = step(listed.groupBy("value").agg(F.count("*").alias("length"), F.min("id").alias("first")).where("length > 1"))
+    return join_counted(listed, heads, "value", "length")
 
 
 def _fits(a: str, b: str, similarity: Fraction) -> Column:
@@ -135,6 +140,7 @@ def _fits(a: str, b: str, similarity: Fraction) -> Column:
     return F.least(a, b) * q >= F.greatest(a, b) * p
 
 
+@tidy
 def _verified(pairs: DataFrame, reps: DataFrame, documents: DataFrame, words: int, similarity: Fraction) -> DataFrame:
     """The linked ones of ``pairs`` (a, b): by the union sketch's estimate, then by the full sets."""
     p, q = similarity.numerator, similarity.denominator
@@ -143,9 +149,9 @@ def _verified(pairs: DataFrame, reps: DataFrame, documents: DataFrame, words: in
     union = F.slice(F.array_sort(F.transform(F.array_union("sa", "sb"), lambda x: F.struct((x < 0).alias("high"), x.alias("x")))), 1, SKETCH)
     union = F.transform(union, lambda s: s["x"])
     shared = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
-    passed = cut(both.where((shared >= least_shared(similarity)) | (F.size(union) < SKETCH)).select("a", "b"))
+    passed = step(both.where((shared >= least_shared(similarity)) | (F.size(union) < SKETCH)).select("a", "b"))
     ids = passed.select(F.col("a").alias("id")).union(passed.select("b")).distinct()
-    whole = full_sets(documents, cut(ids), words)
+    whole = full_sets(documents, step(ids), words)
     # The pairs meet one set after the other, so that a set in many pairs is split like any hot key.
     met = passed.join(whole.toDF("a", "wa"), "a").join(whole.toDF("b", "wb"), "b")
     common = F.size(F.array_intersect("wa", "wb"))
@@ -222,12 +228,13 @@ def _tile_links(similarity: Fraction):
     return work
 
 
+@tidy
 def _between(lists: DataFrame, grown: DataFrame, reps: DataFrame, documents: DataFrame, words: int, similarity: Fraction) -> DataFrame:
     """Links between different components that meet in a list."""
-    placed = cut(lists.join(grown, "id", "left").select("value", "id", "n", "first", "length", F.coalesce("component", "id").alias("component")))
+    placed = step(lists.join(grown, "id", "left").select("value", "id", "n", "first", "length", F.coalesce("component", "id").alias("component")))
     mixed = placed.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("many"), F.sum("n").alias("values"))
-    mixed = cut(mixed.where("low <> high").select("value", "many", "values"))
-    open_ = cut(join_counted(placed, mixed, "value", "many"))
+    mixed = step(mixed.where("low <> high").select("value", "many", "values"))
+    open_ = step(join_counted(placed, mixed, "value", "many"))
     short = open_.where(F.col("length") <= LONG)
     x, y = short.select("value", "id", "n", "component", "first"), short.select("value", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "component")))
     # Pairs with the list's first document have been looked at. At most LONG rows of y meet a row of x.
@@ -236,18 +243,18 @@ def _between(lists: DataFrame, grown: DataFrame, reps: DataFrame, documents: Dat
 
     long_ = open_.where(F.col("length") > LONG)
     sizes = long_.groupBy("value", "component").agg(F.count("*").alias("share"))
-    main = cut(sizes.groupBy("value").agg(F.max_by("component", F.struct("share", "component")).alias("main"), F.sum("share").alias("total")))
+    main = step(sizes.groupBy("value").agg(F.max_by("component", F.struct("share", "component")).alias("main"), F.sum("share").alias("total")))
     # A side of a tile has about BLOCK documents with TILE_VALUES values in all, so its memory is bounded.
     blocks = F.ceil(F.greatest(F.col("length") / BLOCK, F.col("values") / TILE_VALUES)).cast("int")
-    sided = cut(join_counted(long_, main, "value", "total").withColumn("blocks", blocks))
+    sided = step(join_counted(long_, main, "value", "total").withColumn("blocks", blocks))
     # The main component's documents need no pairs among themselves: rows are all the others, columns are all.
     slot = lambda salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col("blocks")).cast("int")
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     rows = sided.where("component <> main").select("value", "id", "n", "component", F.lit(0).alias("side"), slot(1).alias("i"), F.explode(every).alias("j"))
     columns = sided.select("value", "id", "n", "component", F.lit(1).alias("side"), F.explode(every).alias("i"), slot(2).alias("j"))
     tiles = rows.unionByName(columns)
-    passed = cut(tiles.join(reps.select("id", "sketch"), "id").groupBy("value", "i", "j").applyInPandas(_tile_candidates(similarity), tiles.schema))
-    wholes = full_sets(documents, cut(passed.select("id").distinct()), words)
+    passed = step(tiles.join(reps.select("id", "sketch"), "id").groupBy("value", "i", "j").applyInPandas(_tile_candidates(similarity), tiles.schema))
+    wholes = full_sets(documents, step(passed.select("id").distinct()), words)
     schema = reps.select(F.col("id").alias("a"), F.col("id").alias("b")).schema
     found = passed.join(wholes, "id").groupBy("value", "i", "j").applyInPandas(_tile_links(similarity), schema)
     return links.union(found)
@@ -264,33 +271,36 @@ def members(df: DataFrame, words: int = 5, similarity: Fraction = Fraction(8, 10
     """(id, unnamed, n_shingles, component_id, kept) of each row; ``id`` is the text's key where the row has none."""
     node = F.coalesce(F.col(doc_id), _unnamed(doc_id, text, df))
     documents = df.select(node.alias("id"), F.col(text).alias("text"), F.col(doc_id).isNull().alias("unnamed"))
-    slim = cut(sketches(documents, words))
-    classes = cut(slim.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
+    slim = step(sketches(documents, words))
+    classes = step(slim.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
     firsts = classes.select("digest", F.col("rep").alias("id"))
     reps = slim.join(firsts, ["digest", "id"]).groupBy("id").agg(F.max("n_shingles").alias("n"), F.max_by("sketch", "digest").alias("sketch"))
-    reps = cut(reps)
+    reps = step(reps)
 
     p, q = similarity.numerator, similarity.denominator
     exact = lambda n: -F.floor(-(n * p) / q)
     fits = math.floor(float(similarity) * SKETCH)
     must = F.when(F.col("n") <= fits, exact(F.col("n"))).otherwise(F.least(F.lit(least_shared(similarity)), exact(F.col("n"))))
     postings = reps.select(F.explode("sketch").alias("value"), "id", "n", F.size("sketch").alias("retained"))
-    listed = _lists(cut(_first_values(postings, F.col("retained") - must + 1)))
-    listed = cut(listed)
+    listed = _lists(postings, F.col("retained") - must + 1)
     short = listed.where(F.col("length") <= LONG)
-    hot = cut(listed.where(F.col("length") > LONG).select("id").distinct())
-    wholes = cut(full_sets(documents, hot, words)).select(F.explode("whole").alias("value"), "id", F.size("whole").cast("long").alias("n"), F.size("whole").alias("retained"))
-    again = _lists(_first_values(wholes, F.col("n") - exact(F.col("n")) + 1))
-    lists = cut(short.unionByName(again))
+    hot = step(listed.where(F.col("length") > LONG).select("id").distinct())
+    sets = step(full_sets(documents, hot, words))
+    wholes = sets.select(F.explode("whole").alias("value"), "id", F.size("whole").cast("long").alias("n"), F.size("whole").alias("retained"))
+    again = _lists(wholes, F.col("n") - exact(F.col("n")) + 1)
+    lists = short.unionByName(again)
+    release(hot, sets)
 
     size = reps.select(F.col("id").alias("first"), F.col("n").alias("m"))
     stars = lists.where("id <> first").select("first", "id", "n").distinct().join(size, "first").where(_fits("n", "m", similarity))
-    links = cut(_verified(stars.select(F.col("first").alias("a"), F.col("id").alias("b")), reps, documents, words, similarity))
-    grown = cut(components(links))
-    more = cut(_between(lists, grown, reps, documents, words, similarity))
-    final = components(links.union(more))
-
-    placed = cut(classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("digest", "copies", F.coalesce("component", "rep").alias("component")))
+    links = _verified(stars.select(F.col("first").alias("a"), F.col("id").alias("b")), reps, documents, words, similarity)
+    grown = components(links)
+    more = _between(lists, grown, reps, documents, words, similarity)
+    # What has grown together already takes part as stars, so that few rounds are left.
+    final = components(grown.toDF("a", "b").union(more))
+
+    placed = step(classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("digest", "copies", F.coalesce("component", "rep").alias("component")))
+    release(classes, reps, listed, again, links, grown, more, final)
     result = join_counted(slim, placed, "digest", "copies", "left").withColumn("component", F.coalesce("component", "id"))
     # A component that only rows without an id belong to has no id to be named by.
     unnamed = F.col("component") > F.lit(chr(0x10FFFF) if isinstance(df.schema[doc_id].dataType, StringType) else (1 << 63) - 1 - (1 << 60))
