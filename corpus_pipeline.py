@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from umbra.llm import op2_byte_bpe, op3_toxicity, op4_near_dedup, op5_decontamination, op7_quality
-from umbra.llm.common import cut, table
-from umbra.plans.storage import shared_folder
+from umbra.llm.common import table
+from umbra.plans.storage import shared_folder, tidy
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +35,15 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op3_toxicity.score(docs, model).where("score < 0.5").select(docs.columns)
 
 
+@tidy
+def _kept(docs: DataFrame) -> DataFrame:
+    """The kept rows, written; the sketches and classes that they follow from are deleted then."""
+    return op4_near_dedup.groups(docs, words=5, similarity=Fraction(8, 10)).where("kept").select(docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies: five-word shingles, similarity 0.8 or more."""
-    kept = cut(op4_near_dedup.groups(docs, words=5, similarity=Fraction(8, 10)).where("kept").select(docs.columns))
+    kept = _kept(docs)
     # Without an id, rows of one text can't be told apart, so all are kept or none; here one of them is.
     return kept.where("doc_id IS NOT NULL").unionByName(kept.where("doc_id IS NULL").dropDuplicates(["text"]))
 

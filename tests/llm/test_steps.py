@@ -1,6 +1,7 @@
 import glob
 import time
 
+import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,6 +35,14 @@ def test_near_copies_leave_what_their_rows_are_read_from(spark):
     assert [found.where("kept").count(), found.count()] == [7 * 5, 200]
 
 
+def test_the_near_copy_stage_leaves_its_kept_rows_only(spark):
+    docs = spark.createDataFrame([(k, f"a b c d e {k % 7} f g h {k % 5}") for k in range(200)] + [(None, "x y z"), (None, "x y z")], "doc_id long, text string").repartition(3)
+    before = written(spark)
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    assert len(written(spark) - before) == 1
+    assert sorted(r.doc_id if r.doc_id is not None else -1 for r in kept.collect()) == [-1, *range(35)]
+
+
 def test_a_step_leaves_no_shuffle_files(spark):
     before = shuffled(spark)
     assert len(storage.step(spark.range(1000).selectExpr("id % 100 AS k").groupBy("k").count()).collect()) == 100
