@@ -5,6 +5,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
+from umbra.llm import graph
 from umbra.llm import op4_near_dedup as op
 from umbra.plans import storage
 
@@ -43,6 +44,14 @@ def test_the_near_copy_stage_leaves_its_kept_rows_only(spark):
     assert sorted(r.doc_id if r.doc_id is not None else -1 for r in kept.collect()) == [-1, *range(35)]
 
 
+def test_components_read_their_edges_once_a_pass(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(graph, "step", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or storage.step(df))
+    found = graph.components(spark.createDataFrame([(1, 2), (2, 3), (7, 9)], "a long, b long"))
+    assert len(plans) > 1 and not any("Union" in x for x in plans)
+    assert sorted(map(tuple, found.collect())) == [(1, 1), (2, 1), (3, 1), (7, 7), (9, 7)]
+
+
 def test_a_step_leaves_no_shuffle_files(spark):
     before = shuffled(spark)
     assert len(storage.step(spark.range(1000).selectExpr("id % 100 AS k").groupBy("k").count()).collect()) == 100

@@ -10,6 +10,11 @@ from umbra.plans.storage import step, tidy
 MAX_ROUNDS = 60
 
 
+def _each(df: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """(u, v): each row's values of these pairs of columns, from one pass; a union would run all tasks once for each pair."""
+    return df.select(F.explode(F.array(*(F.struct(F.col(u).alias("u"), F.col(v).alias("v")) for u, v in pairs))).alias("e")).select("e.*")
+
+
 @tidy
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of every node of ``links`` (a, b); the component is its smallest node.
@@ -24,13 +29,12 @@ def components(links: DataFrame) -> DataFrame:
         if seen == before or not seen[0]:
             break
         before = seen
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = _each(edges, ("u", "v"), ("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        small = _each(large.join(lowest, "u"), ("u", "m"), ("v", "m"))
         edges = step(small.where("u <> v").distinct())
     else:
         raise RuntimeError("the components did not settle")
-    roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
+    return _each(edges, ("u", "v"), ("v", "v")).distinct().toDF("id", "component")
